@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +29,14 @@ def session(app: str = "quire", master: str | None = None, **conf: str) -> Spark
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Makes sure that checkpoint() has a folder: the cluster's own (spark.checkpoint.dir), else, in local mode only, a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="quire-"))
