@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import nested
+from quire.plans import nested, pages, prose
 
-QUERIES = {**nested.QUERIES}
-SQL = {**nested.SQL}
+QUERIES = {**prose.QUERIES, **pages.QUERIES, **nested.QUERIES}
+SQL = {**prose.SQL, **pages.SQL, **nested.SQL}
