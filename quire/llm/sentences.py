@@ -116,12 +116,13 @@ def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFra
 def sentence_ends(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """keys and end_char of each sentence."""
     base = with_ends(df.select(*keys, F.col(column).alias("_text")), "_text", "_ends")
-    return base.select(*keys, F.inline("_ends")).select(*keys, F.col("end").alias("end_char"))
+    # outer: of an inner one the optimizer makes a filter on the array, pushes it down and computes the array twice
+    return base.select(*keys, F.inline_outer("_ends")).where(F.col("end").isNotNull()).select(*keys, F.col("end").alias("end_char"))
 
 
 def sentences(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """keys, sentence_no from 1, start, end_char and the sentence itself."""
     base = with_ends(df.select(*keys, F.col(column).alias("_text")), "_text", "_ends")
-    rows = base.select(*keys, "_text", F.posexplode("_ends").alias("_n", "_s"))
+    rows = base.select(*keys, "_text", F.posexplode_outer("_ends").alias("_n", "_s")).where(F.col("_s").isNotNull())
     piece = F.substring("_text", (F.col("_s.start") + 1).cast("int"), (F.col("_s.end") - F.col("_s.start")).cast("int"))
     return rows.select(*keys, (F.col("_n") + 1).alias("sentence_no"), F.col("_s.start").alias("start_char"), F.col("_s.end").alias("end_char"), piece.alias("sentence"))
