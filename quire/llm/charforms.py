@@ -83,6 +83,8 @@ def _sign(line: str, i: int) -> str:
 
 def _words(line: str) -> str:
     """Folds look-alike letters by the script of their word, or of the words beside it."""
+    if not _OTHER.search(line):
+        return line
     words = list(_WORD.finditer(line))
     out, at = [], 0
     for k, m in enumerate(words):
@@ -114,6 +116,8 @@ def _words(line: str) -> str:
 
 def canonical_line(line: str) -> str:
     """The one form of a line."""
+    if line.isascii():
+        return line
     out, at = [], 0
     for m in _HARD.finditer(line):
         if m.start() >= at and not unicodedata.combining(m.group()):
@@ -122,7 +126,8 @@ def canonical_line(line: str) -> str:
                 out += [line[at : m.start()], new]
                 at = m.end()
     line = "".join(out) + line[at:]
-    line = _BASE.sub(lambda m: unicodedata.normalize("NFC", m.group()), line)
+    if not unicodedata.is_normalized("NFC", line):
+        line = _BASE.sub(lambda m: unicodedata.normalize("NFC", m.group()), line)
     return _words(line)
 
 
