@@ -50,6 +50,26 @@ def page_counts(spark: SparkSession, folder: str) -> DataFrame:
     return objects(spark, folder).select(*PAGE).distinct().groupBy("doc_id").agg(F.count("*").alias("n_pages"))
 
 
+#: Pages with a ruled grid each, made of the table nation: a page a region, a row a nation, its key and name in two columns.
+_GRID = """
+with r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from {nation}),
+g as (select n_regionkey, max(i) n from r group by n_regionkey),
+x as (select 40D x union all select 140D union all select 240D),
+o as (
+  select n_regionkey, 1 k, 0 i, 'page' kind, 0D x0, 0D y0, 612D x1, 792D y1, cast(null as {text}) text from g
+  union all select n_regionkey, 2, cast(x as int), 'rule', x, 700D - 30 * n, x + 0.5D, 700D, null from g, x
+  union all select n_regionkey, 3, i, 'rule', 40D, 700D - 30 * i, 240D, 700.5D - 30 * i, null from r
+  union all select n_regionkey, 4, 0, 'rule', 40D, 700D, 240D, 700.5D, null from g
+  union all select n_regionkey, 5, i, 'line', 45D, 680D - 30 * (i - 1), 100D, 690D - 30 * (i - 1), cast(n_nationkey as {text}) from r
+  union all select n_regionkey, 6, i, 'line', 145D, 680D - 30 * (i - 1), 200D, 690D - 30 * (i - 1), n_name from r)
+select n_regionkey doc_id, 1 page_no, cast(row_number() over (partition by n_regionkey order by k, i) as int) obj_id, cast(null as int) parent_id, cast(null as {text}) source, kind, x0, y0, x1, y1, text, 1D m_a, 0D m_b from o
+"""
+
+
+def ruled_objects(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(_GRID.replace("{text}", "string"), nation=table(spark, folder, "nation"))
+
+
 def chain_cluster(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of the left edges of each page's lines."""
     lines = layout.objects(objects(spark, folder)).where("kind = 'line'")
@@ -58,13 +78,13 @@ def chain_cluster(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Vertical rules of each page by their span."""
-    o = layout.objects(objects(spark, folder)).where("kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20")
+    o = layout.objects(ruled_objects(spark, folder)).where("kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20")
     return o.groupBy(*PAGE, F.bround("y0").cast("int").alias("low"), F.bround("y1").cast("int").alias("high")).agg(F.count("*").alias("n"), F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 
 def column_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges that long vertical rules of a page draw, and whether they make seven columns."""
-    o = layout.objects(objects(spark, folder))
+    o = layout.objects(ruled_objects(spark, folder))
     tall = o.where("kind in ('rule', 'rect') and x1 - x0 <= 2").join(layout.page_size(o), list(PAGE)).where("y1 - y0 > height * 0.05")
     e = tall.groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.bround((F.col("x0") + F.col("x1")) / 2, 1))).alias("e"))
     return e.select(*PAGE, F.size("e").alias("n_edges"), F.get("e", 0).alias("first_edge"), F.element_at("e", -1).alias("last_edge"), (F.size("e") == 8).alias("seven_columns"))
@@ -72,14 +92,19 @@ def column_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def column_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Which column (between the edges of a page's vertical rules) the middle of each line lies in; -1 before the first."""
-    o = layout.objects(objects(spark, folder))
+    o = layout.objects(ruled_objects(spark, folder))
     mids = o.where("kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20").groupBy(*PAGE).agg(F.array_sort(F.collect_set((F.col("x0") + F.col("x1")) / 2)).alias("edges"))
     lines = o.where("kind = 'line' and text is not null").join(mids, list(PAGE))
     return lines.select(*PAGE, "obj_id", layout.bucket((F.col("x0") + F.col("x1")) / 2, F.col("edges")).alias("bucket"))
 
 
 def ruled_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of the ruled tables of all pages."""
+    """Cells of the ruled tables of the pages made of nations."""
+    return grids.cells(grids.extract(ruled_objects(spark, folder)))
+
+
+def page_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of the ruled tables of all pages of layout_objects."""
     return grids.cells(grids.extract(objects(spark, folder)))
 
 
@@ -139,9 +164,10 @@ def page_progress(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(*PAGE, F.row_number().over(w).alias("done"), F.count("*").over(Window.partitionBy("doc_id")).alias("total"), F.sum("n_lines").over(w).alias("lines_so_far"))
 
 
-_QUERIES = (page_text, page_issues, page_layout_text, page_regions, orientation_vote, text_lines, page_counts, chain_cluster, rule_groups, column_edges, column_buckets, ruled_tables, vector_figures, chapter_carry_forward, tariff_rows, hts_probe, crop_boxes, capacity_formula, lines_conserved, page_progress)
+_QUERIES = (page_text, page_issues, page_layout_text, page_regions, orientation_vote, text_lines, page_counts, chain_cluster, rule_groups, column_edges, column_buckets, ruled_tables, page_tables, vector_figures, chapter_carry_forward, tariff_rows, hts_probe, crop_boxes, capacity_formula, lines_conserved, page_progress)
 QUERIES = {q.__name__: q for q in _QUERIES}
 
+_G = "with o as (" + _GRID.replace("{text}", "varchar").replace("{nation}", "nation").replace("0D", "0::double").replace(".5D", ".5::double").replace("792D", "792::double").replace("612D", "612::double").replace("45D", "45::double").replace("145D", "145::double").replace("1D m_a", "1::double m_a") + "),\n"
 _O = "with o as (select distinct on (doc_id, page_no, obj_id) * from layout_objects order by doc_id, page_no, obj_id),\n"
 _TEXT = strip("coalesce(text, '')")
 _P = _O + f"""n as (select *, kind = 'line' and {_TEXT} <> '' is_line from o),
@@ -164,11 +190,13 @@ select p.doc_id, p.page_no, cast(case when n >= 20 and n >= total * 0.8 then q e
     "text_lines": _O + f"_ as (select 1) select doc_id, page_no, obj_id, text from o where kind = 'line' and {_TEXT} <> ''",
     "page_counts": "select doc_id, count(distinct page_no) n_pages from layout_objects group by 1",
     "chain_cluster": _O + "a as (select *, case when x0 - lag(x0) over w <= 1 then 0 else 1 end f from o where kind = 'line' and x0 is not null window w as (partition by doc_id, page_no order by x0)), b as (select *, sum(f) over (partition by doc_id, page_no order by x0) c from a) select doc_id, page_no, cast(c as int) as cluster, round(avg(x0), 6) mean, count(*) n from b group by 1, 2, 3",
-    "rule_groups": _O + "_ as (select 1) select doc_id, page_no, cast(round_even(y0, 0) as int) low, cast(round_even(y1, 0) as int) high, count(*) n, min(x0) as left, max(x1) as right from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3, 4",
-    "column_edges": _O
+    "rule_groups": _G + "_ as (select 1) select doc_id, page_no, cast(round_even(y0, 0) as int) low, cast(round_even(y1, 0) as int) high, count(*) n, min(x0) as left, max(x1) as right from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3, 4",
+    "column_edges": _G
     + "z as (select doc_id, page_no, max(y1 - y0) height from o where kind = 'page' group by 1, 2), e as (select o.doc_id, o.page_no, list_sort(list(distinct round_even((x0 + x1) / 2, 1))) e from o join z on o.doc_id = z.doc_id and o.page_no = z.page_no where kind in ('rule', 'rect') and x1 - x0 <= 2 and y1 - y0 > height * 0.05 group by 1, 2) select doc_id, page_no, cast(len(e) as int) n_edges, e[1] first_edge, e[len(e)] last_edge, len(e) = 8 seven_columns from e",
-    "column_buckets": _O
+    "column_buckets": _G
     + "e as (select doc_id, page_no, (x0 + x1) / 2 m from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3), g as (select doc_id, page_no, list(m) e from e group by 1, 2) select o.doc_id, o.page_no, obj_id, cast(len(list_filter(g.e, lambda v: v <= (x0 + x1) / 2)) - 1 as int) bucket from o join g on o.doc_id = g.doc_id and o.page_no = g.page_no where kind = 'line' and text is not null",
+    "ruled_tables": """with r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation)
+select n_regionkey doc_id, 1 page_no, 1 table_no, cast(i as int) r, 1 c, cast(n_nationkey as varchar) as value from r union all select n_regionkey, 1, 1, cast(i as int), 2, n_name from r""",
     "vector_figures": _O
     + "_ as (select 1) select doc_id, page_no, obj_id, x0, y0, x1, y1 from o f where kind = 'figure' and x1 - x0 > 20 and y1 - y0 > 20 and exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('rule', 'rect')) and not exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('char', 'image'))",
     "hts_probe": "select doc_id, bool_or(coalesce(regexp_matches(raw_text, '(?i)Harmonized\\s+Tariff\\s+Schedule'), false)) is_hts from sections where source_page <= 5 group by 1",
