@@ -54,7 +54,7 @@ _DOTS = (
 
 _STARTS = f"[\\p{{Lu}}\\p{{Lt}}\\p{{N}}\\p{{Sc}}\u00a7#{OPEN}(\\[\u00bf\u00a1\u00ab\u201c\u201e\"]|\\p{{Ll}}\\p{{Lu}}"
 _ENDS = (
-    f"((?=[{_END};\u037e])(?:"
+    f"((?=[{_END};\u037e\u0e01-\u0e5b])(?:"
     f"[{_CJK_END}](?![{_CLOSERS}{_END}])"
     f"|[{_END}](?![{_CLOSERS}{_END}])(?=\\s+(?:{_STARTS}|\\p{{Lo}}))"
     # no blank after the end mark
@@ -63,18 +63,27 @@ _ENDS = (
     # closing marks belong to the sentence; what goes on in lower case or at once goes on
     f"|[{_END}][ \u00a0\u202f]?[{_CLOSERS}]{{1,2}}(?![{_CLOSERS}{_END}])(?=\\s+(?:{_STARTS}))"
     f"|[;\u037e](?<=\\p{{IsGreek}}[;\u037e])(?=\\s+(?:{_STARTS}))"
+    # Thai: a blank between sentences
+    "|[\u0e01-\u0e2e\u0e30-\u0e45\u0e47-\u0e5b](?=[ \\t\u00a0]+[\u0e00-\u0e7f])"
     "))"
 )
-_THAI = "([\u0e01-\u0e2e\u0e30-\u0e45\u0e47-\u0e5b])(?=[ \\t\u00a0]+[\u0e00-\u0e7f])"
 _BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + PART
 
 _QUOTED = "|".join(f"{a}([^{a}{b}{PART}]{{0,400}})[{b}]" for a, b in (("\u201e", "\u201c\u201d"), ("\u201c", "\u201d"), ("\u00ab", "\u00bb"), ("\u300c", "\u300d"), ("\u300e", "\u300f"), ('(?<![\\p{L}\\p{N}])"', '"')))
-_QUOTED = _QUOTED.replace('[^(?<![\\p{L}\\p{N}])""', '[^"')
+_QUOTED = "(?=[\"\u201c\u201e\u00ab\u300c\u300e])(?:" + _QUOTED.replace('[^(?<![\\p{L}\\p{N}])""', '[^"') + ")"
+
+
+def _holds(text: Column, marks: str) -> Column:
+    """Whether a text has one of the characters; bytes are searched, nothing is decoded."""
+    out = text.contains(marks[0])
+    for c in marks[1:]:
+        out = out | text.contains(c)
+    return out
 
 
 def masked(text: Column) -> Column:
     """The text with false ends masked and parting line breaks marked, character for character."""
-    t = F.when(text.rlike(f"[{MASK}-{CUT}]"), F.translate(text, MASK + PART + OPEN + CLOSE + CUT, OWN * 5)).otherwise(text)
+    t = F.when(_holds(text, MASK + PART + OPEN + CLOSE + CUT), F.translate(text, MASK + PART + OPEN + CLOSE + CUT, OWN * 5)).otherwise(text)
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, r"\n(?=[ \t\u00a0\u3000]*\n)", PART)
     return t
@@ -96,9 +105,8 @@ def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFra
     c = F.col(out)
     df = df.withColumn(out, masked(F.col(column)))
     df = df.withColumn(out, F.when(c.rlike(f"(?:\\A|[\\n{PART}]){_ITEM}"), _items(c)).otherwise(c))
-    df = df.withColumn(out, F.when(c.rlike("[\"\u201c\u201e\u00ab\u300c\u300e]"), _quotes(c)).otherwise(c))
+    df = df.withColumn(out, F.when(_holds(c, "\"\u201c\u201e\u00ab\u300c\u300e"), _quotes(c)).otherwise(c))
     df = df.withColumn(out, F.regexp_replace(F.regexp_replace(c, _DOTS, MASK), _ENDS, f"$1{CUT}"))
-    df = df.withColumn(out, F.when(c.rlike("[\u0e00-\u0e7f]"), F.regexp_replace(c, _THAI, f"$1{CUT}")).otherwise(c))
     # a cut is no character of the text: it goes with the split, the parting line break stays and counts
     df = df.withColumn(out, F.split(F.replace(c, F.lit(PART), F.lit(PART + CUT)), CUT, -1))
     sizes = F.transform(c, lambda p: F.struct(F.length(p).alias("n"), F.length(F.rtrim(p, F.lit(_BLANKS))).alias("k"), F.length(F.ltrim(p, F.lit(_BLANKS))).alias("m")))
