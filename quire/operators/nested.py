@@ -172,7 +172,7 @@ TARGETS = {
 def flat_table(df: DataFrame, target: str, keys: tuple[str, ...] = ("record_id",), payload: str = "payload") -> DataFrame:
     """The rows of one target table: ``keys`` of the record, then path, ancestors' positions and values."""
     base = with_record(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
-    return base.select(*keys, F.inline(TARGETS[target](F.col("_record"))))
+    return base.select(*keys, F.inline_outer(TARGETS[target](F.col("_record")))).where(F.col("path").isNotNull())
 
 
 def child_paths(df: DataFrame, keys: tuple[str, ...] = ("record_id",), payload: str = "payload") -> DataFrame:
@@ -180,7 +180,8 @@ def child_paths(df: DataFrame, keys: tuple[str, ...] = ("record_id",), payload:
     base = with_record(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
     arrays = base.select(*keys, *(F.coalesce(make(F.col("_record")), F.array()).alias(f"_{k}") for k, make in TARGETS.items()))
     paths = F.concat(*(F.transform(f"_{k}", lambda s: F.struct(s["path"].alias("child_path"))) for k in TARGETS))
-    return arrays.select(*keys, F.inline(paths))
+    # outer: an inner one makes the optimizer filter on the array's size and so build it twice
+    return arrays.select(*keys, F.inline_outer(paths)).where(F.col("child_path").isNotNull())
 
 
 def section_children(sections: DataFrame, key: str = "section_key") -> DataFrame:
