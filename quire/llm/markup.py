@@ -344,11 +344,12 @@ def _kinds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if t is None else sorted(kinds(parse(t))) for t in batch.to_pylist()], pa.list_(pa.string()))
 
 
-def split_paragraphs(nodes: list[Node]) -> list[Node]:
-    """Paragraph nodes line by line, the unit in which a site repeats itself."""
-    out = []
+def split_paragraphs(nodes: list[Node]) -> list[tuple[str, Node]]:
+    """Paragraph nodes line by line, the unit in which a site repeats itself; with the blank line before a block."""
+    out: list[tuple[str, Node]] = []
     for n in nodes:
-        out += [Node(n.kind, n.style, x) for x in n.body.split("\n")] if n.kind == "paragraph" else [n]
+        parts = [Node(n.kind, n.style, x) for x in n.body.split("\n")] if n.kind == "paragraph" else [n]
+        out += [("\n" if out and k == 0 else "", x) for k, x in enumerate(parts)]
     return out
 
 
@@ -361,7 +362,7 @@ def _dom(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 rows.append(None)
                 continue
             nodes = parse(t)
-            rows.append({"kinds": sorted(kinds(nodes)), "nodes": [{"kind": n.kind, "style": n.style, "feature": _feature(n), "clean": render(n)} for n in split_paragraphs(nodes)]})
+            rows.append({"kinds": sorted(kinds(nodes)), "nodes": [{"kind": n.kind, "style": n.style, "feature": _feature(n), "clean": gap + render(n)} for gap, n in split_paragraphs(nodes)]})
         yield pa.array(rows, _DOM_ARROW)
 
 
@@ -380,7 +381,8 @@ def fields(sections: DataFrame, keys: tuple[str, ...] = ("section_key",)) -> Dat
 def found_kinds(sections: DataFrame, keys: tuple[str, ...] = ("section_key",)) -> DataFrame:
     """keys, field, region, kind: the kinds of markup in each field, read off its DOM; repeated sections count once."""
     some = fields(sections, keys).where(marked(F.col("text"))).withColumn("kinds", _kinds("text"))
-    return some.select(*keys, "field", "region", F.explode("kinds").alias("kind")).distinct()
+    # outer: an inner explode would make the optimizer filter on the array and so parse twice
+    return some.select(*keys, "field", "region", F.explode_outer("kinds").alias("kind")).where(F.col("kind").isNotNull()).distinct()
 
 
 #: Least importance a branch must have to stay, and the fewest pages on which a source can show its style.
@@ -396,7 +398,7 @@ def dom(sections: DataFrame, documents: DataFrame) -> DataFrame:
 
 def style_tree(doms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Presentation nodes (source, kind, style, pages, importance) and content nodes (source, kind, style, feature, importance) of each source."""
-    each = doms.where(F.col("source").isNotNull()).select("source", "section_key", F.posexplode("dom.nodes").alias("n", "x"), "dom.nodes")
+    each = doms.where(F.col("source").isNotNull()).select("source", "section_key", F.posexplode_outer("dom.nodes").alias("n", "x"), "dom.nodes").where(F.col("x").isNotNull())
     flat = each.select("source", "section_key", F.col("x.kind").alias("kind"), F.col("x.style").alias("style"), F.xxhash64("x.feature").alias("feature"), F.length("x.feature").alias("size"), F.coalesce(F.get("nodes", F.col("n") + 1)["kind"], F.lit("end")).alias("next"))
     pages = flat.groupBy("source", "section_key").agg(F.lit(1)).groupBy("source").agg(F.count("*").alias("m"))
     # presentation: how differently pages go on after a node of this style
