@@ -154,7 +154,7 @@ def with_canonical(df: DataFrame, column: str, out: str | None = None) -> DataFr
 
 def lines(df: DataFrame, column: str, keys: tuple[str, ...] = ("section_key",)) -> DataFrame:
     """Each line of a text with its number from 1; null texts have none."""
-    return df.select(*keys, F.posexplode(F.split(F.col(column), "\n", -1)).alias("_n", "line")).select(*keys, (F.col("_n") + 1).cast("int").alias("line_no"), "line")
+    return df.select(*keys, F.posexplode_outer(F.split(F.col(column), "\n", -1)).alias("_n", "line")).where(F.col("line").isNotNull()).select(*keys, (F.col("_n") + 1).cast("int").alias("line_no"), "line")
 
 
 def changed_lines(df: DataFrame, column: str = "raw_text", keys: tuple[str, ...] = ("section_key",)) -> DataFrame:
