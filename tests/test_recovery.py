@@ -1,0 +1,189 @@
+"""Regions, flags, results, tables, files and resumed runs."""
+
+import csv
+import io
+import json
+import re
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import html_tables as H
+from quire.operators import recovery as R
+from quire.operators import render
+from quire.plans import convert as C
+from quire.sources import sinks
+from quire.streaming import resume
+
+
+def test_boxes_grow_and_join():
+    assert R.union_boxes([[0, 100, 100, 200], [0, 0, 100, 100], [200, 0, 300, 100]]) == [[0, 0, 100, 200], [200, 0, 300, 100]]
+    assert R.union_boxes([[0, 0, 10, 10], [20, 0, 30, 10], [9, 0, 21, 10]]) == [[0, 0, 30, 10]]
+    assert R.union_boxes([]) == []
+
+
+def test_runs_of_pages(spark):
+    pages = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 9)], "doc_id bigint, page_no int")
+    assert [r.image_sequence for r in R.sequences(pages).orderBy("doc_id", "page_no").collect()] == [1, 1, 2, 1]
+
+
+def pages(spark):
+    schema = "doc_id bigint, page_no int, raw_text string, image_regions array<array<double>>, page_size array<double>, n_tables int"
+    long = "x" * 60
+    return spark.createDataFrame([(1, 1, long, [[0.0, 0.0, 9.0, 9.0]], [612.0, 792.0], 0), (1, 2, "short", [], [10.0, 20.0], 0), (1, 3, long, None, None, 0), (1, 4, "short", None, None, 1), (1, 5, f"{long}(cid:3)", [], None, 0)], schema)
+
+
+def test_flags(spark):
+    got = {(r.page_no, r.region): (r.flag_id, r.bbox, r.image_sequence) for r in R.flags(pages(spark)).collect()}
+    assert got == {(1, 1): ("page-1-region-1", [0.0, 0.0, 9.0, 9.0], 1), (2, 1): ("page-2-region-1", [0.0, 0.0, 10.0, 20.0], 1), (5, 1): ("page-5-region-1", [0.0, 0.0, 612.0, 792.0], 2)}
+
+
+class Stub:
+    """A recognizer that fails for some regions."""
+
+    def __init__(self, bad=()):
+        self.bad = bad
+
+    def predict(self, rows):
+        if rows[0]["page_no"] in self.bad:
+            raise RuntimeError("no luck")
+        return [(f"text {rows[0]['page_no']}", json.dumps({"overall_ocr_res": {"rec_scores": [0.5]}}))]
+
+
+def test_partial_failure_then_retry(spark, tmp_path):
+    flags = R.flags(pages(spark))
+    store = R.Store(spark, str(tmp_path / "s"), "digest", "policy")
+    first = {r.page_no: r.status for r in R.recover(flags, store, lambda: Stub({2})).collect()}
+    assert first == {1: "converted", 2: "unresolved", 5: "converted"}
+    again = {r.page_no: (r.status, r.text) for r in R.recover(flags, store, lambda: Stub({1, 5})).collect()}
+    assert {k: v[0] for k, v in again.items()} == {1: "converted", 2: "converted", 5: "converted"} and again[1][1] == "text 1"
+    assert R.Store(spark, store.path, "other", "policy").read().count() == 0
+
+    def dead():
+        raise RuntimeError("no device")
+
+    fresh = R.Store(spark, str(tmp_path / "t"), "digest", "policy")
+    assert {r.detail for r in R.recover(flags, fresh, dead).collect()} == {"Worker failed: no device"}
+
+
+def test_blocks_in_reading_order(spark):
+    lines = spark.createDataFrame([(1, 1, 0, [0.0, 700.0, 9.0, 710.0], "top"), (1, 1, 1, [0.0, 100.0, 9.0, 110.0], "bottom"), (1, 3, 0, [0.0] * 4, "other page")], "doc_id bigint, page_no int, ordinal int, bbox array<double>, text string")
+    flags = spark.createDataFrame([(1, 1, 1, "f", [0.0, 300.0, 9.0, 400.0])], "doc_id bigint, page_no int, region int, flag_id string, bbox array<double>")
+    none = spark.createDataFrame([], "doc_id bigint, page_no int, region int, markdown string, raw string, result_status string")
+    got = R.rendered(R.blocks(lines, R.resolved(flags, none))).collect()
+    assert [r.content for r in got] == ["top\n\n[OCR PENDING: f — image content requires review]\n\nbottom"]
+
+
+def test_last_and_first_result(spark):
+    rows = [(1, 1, 1, 1, "a", None, "s", None, None), (1, 1, 1, 2, "b", None, "s", None, None), (1, 1, 1, 2, "b", None, "s", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page_no int, region int, attempt int, markdown string, raw string, status string, finished_at timestamp, received_at timestamp")
+    assert [r.markdown for r in R.last_results(df).collect()] == ["b"] and [r.markdown for r in R.first_results(df).collect()] == ["a"]
+
+
+HTML = '<table><tr><th colspan=2>Header</th></tr><tr><td rowspan=2>0012</td><td>=1+2</td></tr><tr><td>A &amp; B<br>next</td></tr></table>'
+
+
+def test_html_grid():
+    t = H.read(HTML)["tables"][0]
+    assert t["rows"] == [["Header", ""], ["0012", "=1+2"], ["", "A & B\nnext"]]
+    assert [tuple(m.values()) for m in t["merges"]] == [(1, 1, 1, 2), (2, 1, 3, 1)]
+    assert H.read("<table><tr><td><table></table></td></tr></table>")["error"] == "nested tables"
+    assert H.read("<table><tr><td rowspan=20000>x</td></tr></table>")["error"] == "unreasonable span"
+    assert H.read("<table><tr><td>x")["open"] and H.read(None)["tables"] == []
+
+
+def test_readable():
+    assert H.readable("<html><body><table><tr><td>a|b</td><td>c</td></tr></table></body></html>") == "| Column 1 | Column 2 |\n| --- | --- |\n| a\\|b | c |"
+    assert "<table>" in H.readable(HTML) and "</tr>\n" in H.readable(HTML)
+
+
+def test_fragments_stack():
+    got = H.fragments("before\n" + HTML + "after")
+    assert got["rows"][0] == ["before"] and got["rows"][-1] == ["after"] and got["merges"][0] == {"r1": 2, "c1": 1, "r2": 2, "c2": 2}
+    assert H.fragments("plain")["rows"] == [["plain"]]
+
+
+def test_sinks():
+    raw = sinks.csv_bytes([["0012", 'say "x"'], [None, "é"]])
+    assert raw.startswith(b"\xef\xbb\xbf0012,\"say \"\"x\"\"\"\r\n") and list(csv.reader(io.StringIO(raw.decode("utf-8-sig"))))[1] == ["", "é"]
+    book = zipfile.ZipFile(io.BytesIO(sinks.xlsx_bytes([("page-1-table-1", [["0012", "=1+2"], ["a<b", ""]], [(1, 1, 1, 2)])])))
+    sheet = book.read("xl/worksheets/sheet1.xml").decode()
+    assert 't="inlineStr"' in sheet and '<mergeCell ref="A1:B1"/>' in sheet and 'ySplit="1"' in sheet and "a&lt;b" in sheet
+    assert [sinks.column_name(n) for n in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
+    assert sinks.formats("both") == ("json", "md") and sinks.formats("what") == ("json",)
+
+
+def test_markdown_and_json(spark):
+    b = "array<struct<kind:string,text:string,flag_id:string>>"
+    df = spark.createDataFrame([("d", 1, [("native", "a", None), ("native", "b", None), ("ocr", "c", "f")])], f"doc_id string, seq int, blocks {b}")
+    text = render.section_markdown(F.lit("page-1"), F.lit("PDF page 1"), F.array(F.lit("w")), F.lit("t"), F.lit(None).cast("string"), F.col("blocks"))
+    md = render.documents_markdown(df.select("doc_id", "seq", text.alias("section_markdown"), F.lit("T").alias("title"))).collect()[0].markdown
+    assert md == "# T\n\n## page-1 PDF page 1\n\n> Extraction review: w\n\n```text\na\nb\n```\n\n> OCR text — accuracy unverified; compare with the source.\n\nc\n"
+    got = json.loads(render.document_json({"chapter": None, "title": None, "sections": [{"id": "é", "table_rows": None}]}))
+    assert got == {"chapter": None, "sections": [{"id": "é"}]}
+
+
+@pytest.fixture
+def files(tmp_path, make_pdf, text_at):
+    from tests.test_layout import GRID
+
+    (tmp_path / "in").mkdir()
+    grid = GRID + text_at((50, 670, "0012"), (150, 670, "A"), (50, 620, "0012"), (150, 620, "B"))
+    image = b"q 100 0 0 100 40 400 cm BI /W 1 /H 1 /BPC 8 /CS /G ID \x80 EI Q "
+    (tmp_path / "in/g.pdf").write_bytes(make_pdf(grid + image, text_at((40, 700, "prose " * 10))))
+    return tmp_path
+
+
+def test_convert_json_and_markdown(spark, files):
+    paths, failed = C.convert(spark, [str(files / "in/*.pdf")], str(files / "out"), "both")
+    assert [re.sub(".*/", "", p) for p in paths] == ["g_rag.json", "g_rag.md"] and failed == []
+    doc = json.load(open(paths[0], encoding="utf-8"))
+    assert [s["source_page"] for s in doc["sections"]] == [1, 2] and doc["review_required"] and doc["chapter"] is None
+    assert doc["sections"][0]["ocr_flags"][0]["status"] == "pending" and "0012" in open(paths[1], encoding="utf-8").read()
+
+
+def test_convert_tables_with_recognition(spark, files):
+    class Table:
+        def predict(self, rows):
+            return [("<table><tr><td>image-001</td></tr></table>", "{}")]
+
+    paths, _ = C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "csv", engine="ocr", make_backend=Table, store=str(files / "store"))
+    rows = list(csv.reader(open(paths[0], encoding="utf-8-sig", newline="")))
+    assert rows == [["0012", "A"], ["0012", "B"], ["image-001"]]
+    book, _ = C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "xlsx")
+    assert zipfile.is_zipfile(book[0])
+
+
+def test_convert_errors(spark, files):
+    with pytest.raises(ValueError, match="out of range"):
+        C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), pages="9")
+    with pytest.raises(ValueError, match="no tables"):
+        C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "csv", pages="2")
+    with pytest.raises(ValueError, match="engine"):
+        C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), engine="what")
+    (files / "in/bad.pdf").write_bytes(b"x")
+    _, failed = C.convert(spark, [str(files / "in/*.pdf")], str(files / "out"))
+    assert [f[0] for f in failed] == ["bad.pdf"]
+
+
+def test_stream_takes_files_once(spark, files, make_pdf, text_at):
+    src, out, mark = str(files / "in"), str(files / "objects"), str(files / "mark")
+    resume.run_to_end(resume.convert_new(spark, src, out, mark))
+    n = spark.read.parquet(out).count()
+    resume.run_to_end(resume.convert_new(spark, src, out, mark))
+    assert spark.read.parquet(out).count() == n
+    (files / "in/h.pdf").write_bytes(make_pdf(text_at((40, 700, "new"))))
+    resume.run_to_end(resume.convert_new(spark, src, out, mark))
+    assert resume.current(spark, src, out).where("kind = 'line' and text = 'new'").count() == 1
+    (files / "in/g.pdf").write_bytes(make_pdf(text_at((40, 700, "changed"))))
+    assert resume.current(spark, src, out).where("doc_id = 'g.pdf'").count() == 0
+
+
+def test_stream_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 3)], "doc_id bigint, page_no int")
+    df.coalesce(1).write.parquet(str(tmp_path / "a"))
+    stream = spark.readStream.schema("doc_id bigint, page_no int").parquet(str(tmp_path / "a"))
+    q = resume.stream_sequences(stream).writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    resume.run_to_end(q)
+    assert sorted(tuple(r) for r in spark.table("runs").collect()) == [(1, 1, 1), (1, 2, 1), (1, 4, 2), (2, 3, 1)]
