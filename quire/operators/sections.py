@@ -21,7 +21,8 @@ GLOSSARY_MARKER, GLOSSARY_DIVIDER = r"^[A-Z]-\d{1,3}$", r"^[\p{Lu}]$"
 def text_lines(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), cleaned: bool = True) -> DataFrame:
     """keys, line_no from 0, line of each line of the (cleaned) text."""
     t = X.clean(F.col(text)) if cleaned else F.col(text)
-    return df.select(*keys, F.posexplode(X.splitlines(t)).alias("line_no", "line"))
+    # outer: of an inner one the optimizer makes a filter on the array and so splits twice
+    return df.select(*keys, F.posexplode_outer(X.splitlines(t)).alias("line_no", "line")).where(F.col("line_no").isNotNull())
 
 
 def _blank(line: Column) -> Column:
