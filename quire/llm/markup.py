@@ -30,6 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import once
+from quire.session import checkpoint_dir
+
 KINDS = ("heading", "list", "code", "formula", "table", "inline")
 
 # Names of the dialects' marks.
@@ -271,8 +274,13 @@ def kinds(nodes: list[Node]) -> set[str]:
     return out
 
 
+_ANY_MARK = re.compile(r"[<&*_~`\\\[\]{}]|''")
+
+
 def plain(body: str) -> str:
     """Text without inline marks, entities resolved."""
+    if not _ANY_MARK.search(body):
+        return body
     t = re.sub(r"<!--.*?(?:-->|$)", "", body, flags=re.S)
     t = re.sub(r"<br\s*/?>", "\n", t, flags=re.I)
     t = re.sub(r"</?[A-Za-z!][^<>\n]*>", "", t)
@@ -392,14 +400,18 @@ LEAST_PAGES = 5
 
 def dom(sections: DataFrame, documents: DataFrame) -> DataFrame:
     """section_key, field, region, source and the DOM of each field."""
-    rows = fields(sections.dropDuplicates(["section_key"]), ("section_key", "doc_id"))
+    rows = fields(once(sections.select("section_key", "doc_id", "content", "ocr_markdown", "image_ocr", "loaded_at")), ("section_key", "doc_id"))
     return rows.join(documents.select("doc_id", "source"), "doc_id", "left").withColumn("dom", _dom("text")).drop("text")
 
 
 def style_tree(doms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Presentation nodes (source, kind, style, pages, importance) and content nodes (source, kind, style, feature, importance) of each source."""
-    each = doms.where(F.col("source").isNotNull()).select("source", "section_key", F.posexplode_outer("dom.nodes").alias("n", "x"), "dom.nodes").where(F.col("x").isNotNull())
-    flat = each.select("source", "section_key", F.col("x.kind").alias("kind"), F.col("x.style").alias("style"), F.xxhash64("x.feature").alias("feature"), F.length("x.feature").alias("size"), F.coalesce(F.get("nodes", F.col("n") + 1)["kind"], F.lit("end")).alias("next"))
+    nodes = F.col("dom.nodes")
+    slim = F.transform(nodes, lambda x, i: F.struct(x["kind"].alias("kind"), x["style"].alias("style"), F.xxhash64(x["feature"]).alias("feature"), F.length(x["feature"]).alias("size"), F.coalesce(F.get(nodes, i + 1)["kind"], F.lit("end")).alias("next")))
+    flat = doms.where(F.col("source").isNotNull()).select("source", "section_key", slim.alias("x")).select("source", "section_key", F.inline_outer("x")).where(F.col("kind").isNotNull())
+    # read three times below; short rows without text
+    checkpoint_dir(doms.sparkSession)
+    flat = flat.checkpoint()
     pages = flat.groupBy("source", "section_key").agg(F.lit(1)).groupBy("source").agg(F.count("*").alias("m"))
     # presentation: how differently pages go on after a node of this style
     goes = flat.groupBy("source", "kind", "style", "next").agg(F.count("*").alias("k"))
