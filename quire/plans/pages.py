@@ -197,6 +197,19 @@ select p.doc_id, p.page_no, cast(case when n >= 20 and n >= total * 0.8 then q e
     + "e as (select doc_id, page_no, (x0 + x1) / 2 m from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3), g as (select doc_id, page_no, list(m) e from e group by 1, 2) select o.doc_id, o.page_no, obj_id, cast(len(list_filter(g.e, lambda v: v <= (x0 + x1) / 2)) - 1 as int) bucket from o join g on o.doc_id = g.doc_id and o.page_no = g.page_no where kind = 'line' and text is not null",
     "ruled_tables": """with r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation)
 select n_regionkey doc_id, 1 page_no, 1 table_no, cast(i as int) r, 1 c, cast(n_nationkey as varchar) as value from r union all select n_regionkey, 1, 1, cast(i as int), 2, n_name from r""",
+    "page_regions": _O
+    + """v as (select *, case when kind = 'image' then 0 else 1 end k from o f where kind = 'image' or (kind = 'figure' and x1 - x0 > 20 and y1 - y0 > 20 and exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('rule', 'rect')) and not exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('char', 'image'))))
+select doc_id, page_no, cast(row_number() over (partition by doc_id, page_no order by k, obj_id) - 1 as int) n, x0, y0, x1, y1 from v""",
+    "chapter_carry_forward": _O
+    + f"""z as (select doc_id, page_no, max(x1 - x0) width, max(y1 - y0) height from o where kind = 'page' group by 1, 2),
+l as (select o.doc_id, o.page_no, obj_id, x0, y0, abs((x0 + x1) / 2 - width / 2) off, height, {_TEXT} s from o join z on o.doc_id = z.doc_id and o.page_no = z.page_no where kind = 'line'),
+m as (select doc_id, page_no, arg_min(cast(regexp_extract(s, '^(\\d+)', 1) as int), (-y0, x0, obj_id)) n from l where regexp_matches(s, '^\\d{{1,2}}-\\d+$') and y0 > height * 0.85 group by 1, 2),
+h as (select doc_id, page_no, arg_min(cast(regexp_extract(s, '(\\d+)$', 1) as int), (-y0, x0, obj_id)) n, arg_min(y0, (-y0, x0, obj_id)) y from l where regexp_matches(s, '^CHAPTER\\s+\\d{{1,2}}$') and off < 50 group by 1, 2),
+t as (select l.doc_id, l.page_no, string_agg(s, ' ' order by -y0, x0, obj_id) t from l join h on l.doc_id = h.doc_id and l.page_no = h.page_no where h.y - y0 > 0 and h.y - y0 < 45 and off < 80 group by 1, 2),
+p as (select d.doc_id, d.page_no, coalesce(h.n, m.n) n, case when h.n is not null then coalesce(nullif(t.t, ''), 'Chapter ' || h.n) end t from (select distinct doc_id, page_no from o) d left join m on d.doc_id = m.doc_id and d.page_no = m.page_no left join h on d.doc_id = h.doc_id and d.page_no = h.page_no left join t on d.doc_id = t.doc_id and d.page_no = t.page_no),
+c as (select *, last_value(n ignore nulls) over w chapter from p window w as (partition by doc_id order by page_no rows unbounded preceding)),
+e as (select *, coalesce(t, case when chapter is distinct from lag(chapter) over w and chapter is not null then 'Chapter ' || chapter end) ev from c window w as (partition by doc_id order by page_no))
+select doc_id, page_no, chapter, coalesce(last_value(ev ignore nulls) over (partition by doc_id order by page_no rows unbounded preceding), 'Front matter and general notes') chapter_title from e""",
     "vector_figures": _O
     + "_ as (select 1) select doc_id, page_no, obj_id, x0, y0, x1, y1 from o f where kind = 'figure' and x1 - x0 > 20 and y1 - y0 > 20 and exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('rule', 'rect')) and not exists (select 1 from o c where c.doc_id = f.doc_id and c.page_no = f.page_no and c.parent_id = f.obj_id and c.kind in ('char', 'image'))",
     "hts_probe": "select doc_id, bool_or(coalesce(regexp_matches(raw_text, '(?i)Harmonized\\s+Tariff\\s+Schedule'), false)) is_hts from sections where source_page <= 5 group by 1",

@@ -26,10 +26,10 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 _CLEAN = strip(r"regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(12), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")
 _LINES = f"""
-with c as (select doc_id, {_CLEAN} t from documents where text is not null),
-a as (select doc_id, regexp_split_to_array(t, '{X.LINE_END}') p from c),
-b as (select doc_id, case when p[len(p)] = '' then p[1:len(p) - 1] else p end p from a),
-l0 as (select doc_id, cast(unnest(range(len(p))) as int) line_no, unnest(p) line from b),
+with lc as (select doc_id, {_CLEAN} t from documents where text is not null),
+la as (select doc_id, regexp_split_to_array(t, '{X.LINE_END}') p from lc),
+lb as (select doc_id, case when p[len(p)] = '' then p[1:len(p) - 1] else p end p from la),
+l0 as (select doc_id, cast(unnest(range(len(p))) as int) line_no, unnest(p) line from lb),
 l as (select *, {strip("line")} s from l0)
 """
 _MINOR = ", ".join(f"'{w}'" for w in X.MINOR_WORDS)
@@ -247,8 +247,23 @@ z as (select book, cast(row_number() over (partition by book order by g) - 1 as
 )
 _NUMBERED = "regexp_extract(book, '(\\d+)', 1) || '.' || cast(seq + 1 as varchar)"
 
+_DOC_RAW = _BOOK_RAW.replace(_BOOK_RAW[: _BOOK_RAW.index("h1 as")], _LINES + rf""", g as (select doc_id, bool_or(contains(lower(line), 'glossary') and line_no < 350) or (count(*) filter (regexp_matches(s, '{S.GLOSSARY_MARKER}') and line_no < 2000) >= 5 and count(*) filter (regexp_matches(s, '{S.GLOSSARY_DIVIDER}') and line_no < 2000) >= 3) g from l group by 1),
+w as (select l.*, g.g, coalesce(lag(s) over (partition by l.doc_id order by line_no), '') = '' free, sum(case when s <> '' then 1 else 0 end) over (partition by l.doc_id order by line_no) filled from l join g on l.doc_id = g.doc_id),
+h as (select doc_id, line_no, s title, filled from w where not (g and regexp_matches(s, '{S.GLOSSARY_MARKER}')) and (regexp_matches(s, '{X.CHAPTER}') or (free and case when g and regexp_matches(s, '{S.GLOSSARY_DIVIDER}') then true else {_HEADING} end))),
+""").replace("book", "doc_id")
+_DOC_SMOOTH = _DOC_RAW + _SMOOTH[len(_BOOK_RAW) :].replace("book", "doc_id")
+_BLOCK = _LINES.replace("doc_id", "section_key").replace("text,", "layout_text,").replace("from documents where text is", "from (select distinct section_key, layout_text from sections) where layout_text is") + f"""
+, r as (select section_key, line_no, len({_CELLS}) cols from l where {_ROW}), f as (select section_key, line_no, sum(case when s <> '' then 1 else 0 end) over (partition by section_key order by line_no) filled from l),
+n as (select r.*, f.filled from r join f on r.section_key = f.section_key and r.line_no = f.line_no),
+n1 as (select *, case when line_no - lag(line_no) over v <= 2 and filled - lag(filled) over v <= 1 then 0 else 1 end fresh from n window v as (partition by section_key order by line_no)),
+n2 as (select *, sum(fresh) over (partition by section_key order by line_no) b from n1), c as (select section_key, b, cols, count(*) k, min(line_no) lo, max(line_no) hi from n2 group by 1, 2, 3),
+o as (select section_key, b, min(lo) first_line, max(hi) last_line, cast(sum(k) as bigint) n_rows, cast(arg_max(cols, (k, -cols)) as int) n_cols from c group by 1, 2), q as (select o.section_key, o.b, any_value(first_line) first_line, any_value(last_line) last_line, any_value(n_rows) n_rows, any_value(n_cols) n_cols, sum(case when abs(c.cols - o.n_cols) <= 1 then c.k else 0 end) near from o join c on c.section_key = o.section_key and c.b = o.b where n_rows >= 3 group by 1, 2)
+select section_key, cast(row_number() over (partition by section_key order by first_line) as int) block, first_line, last_line, n_rows, n_cols, near >= greatest(3, floor(n_rows * 0.6)) consistent from q"""
+
 SQL = {
-    "doc_line_profile": _LINES + f", {_RAW.replace(f"regexp_matches(s, '{X.CHAPTER}') or ", '')} select b.doc_id, cast(len(p) as bigint) n_lines, cast(coalesce(n_blank, 0) as bigint) n_blank, cast(coalesce(n_bullets, 0) as bigint) n_bullets, cast(coalesce(n_headings, 0) as bigint) n_headings from b left join (select doc_id, count(*) filter (s = '') n_blank, count(*) filter ({_BULLET}) n_bullets from l group by 1) x on b.doc_id = x.doc_id left join (select doc_id, count(*) n_headings from h group by 1) y on b.doc_id = y.doc_id",
+    "document_sections": _DOC_SMOOTH + "select * from z",
+    "table_blocks": _BLOCK,
+    "doc_line_profile": _LINES + f", {_RAW.replace(f"regexp_matches(s, '{X.CHAPTER}') or ", '')} select lb.doc_id, cast(len(p) as bigint) n_lines, cast(coalesce(n_blank, 0) as bigint) n_blank, cast(coalesce(n_bullets, 0) as bigint) n_bullets, cast(coalesce(n_headings, 0) as bigint) n_headings from lb left join (select doc_id, count(*) filter (s = '') n_blank, count(*) filter ({_BULLET}) n_bullets from l group by 1) x on lb.doc_id = x.doc_id left join (select doc_id, count(*) n_headings from h group by 1) y on lb.doc_id = y.doc_id",
     "clean_text": f"select doc_id, {_CLEAN} cleaned from documents",
     "doc_lines": _LINES + "select doc_id, line_no, line from l",
     "line_frequency_top": _TOP + " select * from t",

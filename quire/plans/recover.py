@@ -142,6 +142,22 @@ def document_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return render.documents_markdown(pages.join(titles, "doc_id", "left"))
 
 
+def whole_page_recognition(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with the recognized text that sections hold of them: which text stands, what is noted."""
+    s = sections(spark, folder)
+    pages = s.select("doc_id", F.col("source_page").alias("page_no"), F.coalesce("raw_text", F.lit("")).alias("content"), "warnings")
+    found = s.where("ocr_markdown is not null").select("doc_id", F.col("source_page").alias("page_no"), F.col("ocr_markdown").alias("markdown"))
+    out = recovery.whole_pages(pages, found)
+    return out.select("doc_id", "page_no", "content", "native_content", F.size(F.coalesce("warnings", F.array())).alias("n_warnings"))
+
+
+def document_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw text of each document with sections, page after page."""
+    s = sections(spark, folder).where("raw_text is not null")
+    pages = F.array_sort(F.collect_list(F.struct("source_page", "section_key", "raw_text")))
+    return s.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["raw_text"]), "\n").alias("text"))
+
+
 def readable_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Recognized text with its tables as pipe tables."""
     last = recovery.last_results(results(spark, folder)).where("markdown is not null")
@@ -213,7 +229,7 @@ def worker_capacity(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("doc_id", budget.alias("budget"), layout.capacity(F.lit(16.0), budget).alias("workers"))
 
 
-_QUERIES = (merged_regions, recovery_flags, image_sequences, flag_result_left_join, flag_first_result, flag_totals, pending_regions, pending_pages, stored_pages, quality_warnings, ordered_blocks, rendered_pages, warnings_after_recovery, review_required, digest_keys, fence_length, document_markdown, readable_markdown, result_tables, html_grid, block_row_offsets, page_table_files, table_report, outcome_counts, attempt_stats, worker_capacity)
+_QUERIES = (merged_regions, recovery_flags, image_sequences, flag_result_left_join, flag_first_result, flag_totals, pending_regions, pending_pages, stored_pages, quality_warnings, ordered_blocks, rendered_pages, warnings_after_recovery, review_required, digest_keys, fence_length, document_markdown, whole_page_recognition, document_text, readable_markdown, result_tables, html_grid, block_row_offsets, page_table_files, table_report, outcome_counts, attempt_stats, worker_capacity)
 QUERIES = {q.__name__: q for q in _QUERIES}
 
 _S = "with s as (select distinct on (section_key) * from sections order by section_key),\n"
@@ -267,6 +283,10 @@ select doc_id, page_no, w warning from n where not (done and starts_with(w, 'Emb
     "html_grid": "with r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation) select n_regionkey, 1 table_no, cast(i as int) r, 1 c, cast(n_nationkey as varchar) as value from r union all select n_regionkey, 1, cast(i as int), 2, n_name from r",
     "block_row_offsets": _R
     + ", t0 as (select doc_id, source_page page_no, unnest(range(len(native_tables))) i, unnest(native_tables) t from s), b as (select doc_id, page_no, 'native' kind, cast(i as int) n, cast(len(t.rows) as int) n_rows, t.bbox[4] top, t.bbox[1] as left from t0 where t is not null union all select doc_id, page_no, 'ocr', region, 1, bbox[4], bbox[1] from r) select *, cast(coalesce(sum(n_rows) over (partition by doc_id, page_no order by top desc, \"left\", kind, n rows between unbounded preceding and 1 preceding), 0) as bigint) first_row from b",
+    "whole_page_recognition": _S
+    + f"""_ as (select 1) select doc_id, source_page page_no, case when coalesce(ocr_markdown, '') <> '' then ocr_markdown else coalesce(raw_text, '') end content, case when ocr_markdown is not null then coalesce(raw_text, '') end native_content,
+cast(coalesce(len(warnings), 0) + case when ocr_markdown is null then 0 when {strip('ocr_markdown')} = '' then 2 else 1 end as int) n_warnings from s""",
+    "document_text": _S + "_ as (select 1) select doc_id, string_agg(raw_text, chr(10) order by source_page, section_key) as text from s where raw_text is not null group by 1",
     "table_report": _S + "_ as (select 1) select section_key, source_page, cast(coalesce(len(native_tables), 0) as int) native_table_count, cast(coalesce(len(ocr_flags), 0) as int) n_flags, case when coalesce(len(native_tables), 0) > 0 or coalesce(len(ocr_flags), 0) > 0 then 'Native tables and image recovery in page order.' else 'No ruled table detected; review digital/borderless content.' end status from s",
     "outcome_counts": "select status = 'OCR completed; review accuracy.' completed, count(*) n from (select distinct doc_id, page_no, region, attempt, status from ocr_results) group by 1",
     "attempt_stats": "select doc_id, round(avg(length(markdown)), 6) mean_chars, round(avg(epoch_us(received_at) - epoch_us(finished_at)) / 1e6, 4) mean_seconds, count(*) n from (select distinct on (doc_id, page_no, region, attempt) * from ocr_results order by doc_id, page_no, region, attempt) group by 1",
