@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, PART, OPEN, CLOSE, CUT, OWN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue00f"
+MASK, PART, OPEN, CLOSE, CUT, ITEM, OWN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue00f"
 
 # Abbreviations that never end a sentence, and those that don't before a figure.
 NEVER = (
@@ -35,7 +35,6 @@ _END = ".!?\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u0589\u1362"
 _CJK_END = "\u3002\uff01\uff1f\uff61"
 _CLOSERS = CLOSE + ")\\]}\uff09\u3011\u300d\u300f\u00bb\u201d\u2019\"'"
 _ITEM = r"[ \t]*(?:[-*\u2022\u00b7\u2023\u25aa\u25e6]|\(?(?:\p{L}|\p{Nd}{1,3}|[ivx]{1,4})\))[ \t]+(?=\S)"
-_AT_LINE = f"(?<=\\A|[\\n{PART}])"
 
 _DOTS = (
     r"\.(?:"
@@ -48,13 +47,13 @@ _DOTS = (
     f"|(?<=(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(BEFORE_FIGURE)})\\.)(?=\\s*\\p{{Nd}})"
     f"|(?<=(?<![\\p{{L}}])(?:{'|'.join(GERMAN_BEFORE_ORDINAL)})\\s\\p{{Nd}}{{1,2}}\\.)(?=\\s+\\p{{Lu}})"
     f"|(?<=(?<!\\p{{N}})\\p{{Nd}}{{1,2}}\\.)(?=\\s+(?:{'|'.join(MONTHS)}))"
-    f"|(?<=(?:\\A|[\\n{PART}])[ \\t]{{0,8}}\\p{{Nd}}{{1,2}}\\.)(?=[ \\t]+\\S)"  # numbered headings
+    f"|(?<=(?:\\A|[\\n{PART}{ITEM}])[ \\t]{{0,8}}\\p{{Nd}}{{1,2}}\\.)(?=[ \\t]+\\S)"  # numbered headings
     r")"
 )
 
 _STARTS = f"[\\p{{Lu}}\\p{{Lt}}\\p{{N}}\\p{{Sc}}\u00a7#{OPEN}(\\[\u00bf\u00a1\u00ab\u201c\u201e\"]|\\p{{Ll}}\\p{{Lu}}"
 _ENDS = (
-    f"((?=[{_END};\u037e\u0e01-\u0e5b])(?:"
+    "((?=[FIRST])(?:"
     f"[{_CJK_END}](?![{_CLOSERS}{_END}])"
     f"|[{_END}](?![{_CLOSERS}{_END}])(?=\\s+(?:{_STARTS}|\\p{{Lo}}))"
     # no blank after the end mark
@@ -67,10 +66,15 @@ _ENDS = (
     "|[\u0e01-\u0e2e\u0e30-\u0e45\u0e47-\u0e5b](?=[ \\t\u00a0]+[\u0e00-\u0e7f])"
     "))"
 )
-_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + PART
+#: For texts without later scripts the first character is one of a few; a class of many is slow at each place.
+_FEW_ENDS = _ENDS.replace("FIRST", ".!?;")
+_ALL_ENDS = _ENDS.replace("FIRST", f"{_END};\u037e\u0e01-\u0e5b")
+_LATER = "[\u037e\u0589-\u1fff\u3000-\uffdf]"
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + PART + ITEM
 
-_QUOTED = "|".join(f"{a}([^{a}{b}{PART}]{{0,400}})[{b}]" for a, b in (("\u201e", "\u201c\u201d"), ("\u201c", "\u201d"), ("\u00ab", "\u00bb"), ("\u300c", "\u300d"), ("\u300e", "\u300f"), ('(?<![\\p{L}\\p{N}])"', '"')))
-_QUOTED = "(?=[\"\u201c\u201e\u00ab\u300c\u300e])(?:" + _QUOTED.replace('[^(?<![\\p{L}\\p{N}])""', '[^"') + ")"
+#: By opening mark: a quotation of 400 characters at most, within a part.
+_QUOTED = {a: f"{before}{a}([^{a}{b}{PART}]{{0,400}})[{b}]" for a, b, before in (("\u201e", "\u201c\u201d", ""), ("\u201c", "\u201d", ""), ("\u00ab", "\u00bb", ""), ("\u300c", "\u300d", ""), ("\u300e", "\u300f", ""), ('"', '"', ""))}
+_QUOTED['"'] = f'"(?<![\\p{{L}}\\p{{N}}]")([^"{PART}]{{0,400}})"'
 
 
 def _holds(text: Column, marks: str) -> Column:
@@ -81,23 +85,37 @@ def _holds(text: Column, marks: str) -> Column:
     return out
 
 
+def _holds_any(text: Column, parts: list[str]) -> Column:
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
+
+
 def masked(text: Column) -> Column:
     """The text with false ends masked and parting line breaks marked, character for character."""
-    t = F.when(_holds(text, MASK + PART + OPEN + CLOSE + CUT), F.translate(text, MASK + PART + OPEN + CLOSE + CUT, OWN * 5)).otherwise(text)
+    t = F.when(_holds(text, MASK + PART + OPEN + CLOSE + CUT + ITEM), F.translate(text, MASK + PART + OPEN + CLOSE + CUT + ITEM, OWN * 6)).otherwise(text)
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"\n(?=[ \t\u00a0\u3000]*\n)", PART)
-    return t
+    # a part for each blank line: of empty ones by bytes, of those with blanks by pattern
+    t = F.replace(t, F.lit("\n\n"), F.lit(PART + "\n"))
+    odd = _holds_any(t, ["\n" + c for c in " \t\u00a0\u3000"])
+    return F.when(odd, F.regexp_replace(t, r"\n(?=[ \t\u00a0\u3000]+\n)", PART)).otherwise(t)
 
 
 def _items(t: Column) -> Column:
-    inner = F.regexp_replace(t, f"((?:(?!\\A)\\G|{_AT_LINE}{_ITEM})[^\\n{PART}{_END};\u037e]*)[{_END};\u037e]", f"$1{MASK}")
-    ended = F.regexp_replace(inner, f"({_AT_LINE}{_ITEM}[^\\n{PART}]*)\\n", f"$1{PART}")
-    return F.regexp_replace(ended, f"\\n(?={_ITEM})", PART)
+    """List items: their line breaks part, their inner ends are masked."""
+    marked = F.regexp_replace(t, f"\\n(?={_ITEM})", ITEM)
+    ended = F.regexp_replace(marked, f"((?:\\A|[\\n{PART}{ITEM}]){_ITEM}[^\\n{PART}{ITEM}]*)\\n", f"$1{PART}")
+    return F.regexp_replace(ended, f"((?:[{PART}{ITEM}]{_ITEM}|\\A{_ITEM}|(?!\\A)\\G)[^\\n{PART}{ITEM}{_END};\u037e]*)[{_END};\u037e]", f"$1{MASK}")
 
 
-def _quotes(t: Column) -> Column:
-    marked = F.regexp_replace(t, _QUOTED, f"{OPEN}$1$2$3$4$5$6{CLOSE}")
-    return F.regexp_replace(marked, f"((?:(?!\\A)\\G|{OPEN})[^{OPEN}{CLOSE}{_END}]*)[{_END}](?=[^{OPEN}{CLOSE}]*[^{OPEN}{CLOSE}\\s][^{OPEN}{CLOSE}]*{CLOSE})", f"$1{MASK}")
+def _quotes(t: DataFrame, out: str) -> DataFrame:
+    """Quotations: their marks as one kind, ends within them masked, but for one right before the closing mark."""
+    c = F.col(out)
+    for opens, pattern in _QUOTED.items():
+        t = t.withColumn(out, F.when(c.contains(opens), F.regexp_replace(c, pattern, f"{OPEN}$1{CLOSE}")).otherwise(c))
+    inner = f"((?:{OPEN}|(?!\\A)\\G)[^{OPEN}{CLOSE}{_END}]*)[{_END}](?=[^{OPEN}{CLOSE}]*[^{OPEN}{CLOSE}\\s][^{OPEN}{CLOSE}]*{CLOSE})"
+    return t.withColumn(out, F.when(c.contains(OPEN), F.regexp_replace(c, inner, f"$1{MASK}")).otherwise(c))
 
 
 def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFrame:
@@ -105,10 +123,11 @@ def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFra
     c = F.col(out)
     df = df.withColumn(out, masked(F.col(column)))
     df = df.withColumn(out, F.when(c.rlike(f"(?:\\A|[\\n{PART}]){_ITEM}"), _items(c)).otherwise(c))
-    df = df.withColumn(out, F.when(_holds(c, "\"\u201c\u201e\u00ab\u300c\u300e"), _quotes(c)).otherwise(c))
-    df = df.withColumn(out, F.regexp_replace(F.regexp_replace(c, _DOTS, MASK), _ENDS, f"$1{CUT}"))
+    df = _quotes(df, out)
+    df = df.withColumn(out, F.regexp_replace(c, _DOTS, MASK))
+    df = df.withColumn(out, F.when(F.col(column).rlike(_LATER), F.regexp_replace(c, _ALL_ENDS, f"$1{CUT}")).otherwise(F.regexp_replace(c, _FEW_ENDS, f"$1{CUT}")))
     # a cut is no character of the text: it goes with the split, the parting line break stays and counts
-    df = df.withColumn(out, F.split(F.replace(c, F.lit(PART), F.lit(PART + CUT)), CUT, -1))
+    df = df.withColumn(out, F.split(F.replace(F.replace(c, F.lit(PART), F.lit(PART + CUT)), F.lit(ITEM), F.lit(ITEM + CUT)), CUT, -1))
     sizes = F.transform(c, lambda p: F.struct(F.length(p).alias("n"), F.length(F.rtrim(p, F.lit(_BLANKS))).alias("k"), F.length(F.ltrim(p, F.lit(_BLANKS))).alias("m")))
     df = df.withColumn(out, sizes)
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
