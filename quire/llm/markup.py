@@ -84,12 +84,24 @@ _INLINE = re.compile(
 QUICK_CHECK = r"(?m)[<`~$\\{}]|&#?\w+;?|\*\S|\S\*|__|(?<![\w])_\S|\]\(|\[\[|\]\]|''|-->|\[\^|\[http|^\s*(?:[*+-]|\*{2,4})[ \t]|^\s{0,3}#{1,6}[ \t]|^\s*={1,6}|^\s*-{2,}\s*$|^\s*[|]|-{2,}:?\s*[|]"
 
 
-def _close(lines: list[str], i: int, rest: str, closer: re.Pattern, blank_ends: bool = True) -> tuple[int, str, bool]:
-    """From line i (its text after the opening mark): the line where it closes, the text after that, and whether it does."""
+_IN_TABLE = re.compile(r"^\s*(?:</?(?:tr|td|th|tbody|thead|tfoot|caption|col|colgroup)\b|</table|[|!])|^.*\\\\\s*$|^\s*\\(?:hline|end)", re.I)
+
+
+def _close(lines: list[str], i: int, rest: str, closer: re.Pattern, opener: re.Pattern | None = None) -> tuple[int, str, bool]:
+    """From line i (its text after the opening mark): the line where it closes, the text after that, and whether it does.
+
+    A damaged table (opener given) ends before another begins, or at a blank line behind which none of its rows follow."""
     m = closer.search(rest)
     if m:
         return i, rest[m.end() :], True
     for j in range(i + 1, len(lines)):
+        if opener is not None:
+            if opener.search(lines[j]) and not (closer.search(lines[j]) and closer.search(lines[j]).start() < opener.search(lines[j]).start()):
+                return j - 1, "", False
+            if not lines[j].strip():
+                after = next((x for x in lines[j + 1 :] if x.strip()), "")
+                if not _IN_TABLE.match(after):
+                    return j - 1, "", False
         m = closer.search(lines[j])
         if m:
             return j, lines[j][m.end() :], True
@@ -163,7 +175,7 @@ def parse(text: str) -> list[Node]:
             wrapped = kind == "formula" and re.fullmatch(r"\s*:*\s*(?:<p\s+class=[\"']?math[\"']?\s*>)?\s*", before)
             if before.strip() and not wrapped:
                 para.append(before)
-            j, rest, closed = _close(lines, i, line[m.end() :], _closer(m, kind))
+            j, rest, closed = _close(lines, i, line[m.end() :], _closer(m, kind), _TABLE_OPEN if kind == "table" else None)
             if not closed and kind == "formula" and m.group() in ("$$", "\\("):  # only this line
                 j, rest = i, ""
             block = line[m.end() :] if j == i else "\n".join([line[m.end() :], *lines[i + 1 : j + 1]])

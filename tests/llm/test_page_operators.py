@@ -20,6 +20,7 @@ from tests.compare import database, rows_of, sql_rows
         ("```py\n# no heading\n- no list\n```", {"code"}), ("~~~\n$x = $y\n", {"code"}), ("<pre><code>a &lt; b\n</code></pre>", {"code"}), ("\\begin{verbatim}\n<table>\n\\end{verbatim}", {"code"}),
         ("$$x^{2}$$", {"formula"}), ("Here $a_{k}$ holds.", {"formula"}), ("The rate is $x^{2} for looms.", {"formula"}), ("\\[m = \\rho V\\]", {"formula"}), ("<math><mi>x</mi></math>", {"formula"}), ("\\begin{align*}\na &= b \\\\\n\\end{align*}", {"formula"}), ('<p class="math">\\(x\\)</p>', {"formula"}),
         ("| a | b |\n|---|---|\n| c | d |", {"table"}), ("a | b\n---|---\nc | d", {"table"}), ("{|\n|-\n| a || b\n|}", {"table"}), ("<table><tr><td>a</td></tr></table>", {"table"}), ("\\begin{tabular}{ll}\na & b \\\\\n\\end{tabular}", {"table"}), ("<html><body><table><tr><td>a</table></body></html>", {"table", "inline"}),
+        ("<table>\n<tr><td>a</td></tr>\n\n<p>b</p>\n\n<table>\n<tr><td>c</td></tr>\n</table>", {"table", "inline"}), ("<table>\n<tr><td>a</td></tr>\n\n<h1>b</h1>\n\n* c\n\n<table><tr><td>d</td></tr></table>", {"table", "heading", "list"}), ("<table>\n<tr><td>a</td></tr>\n\n<tr><td>b</td></tr>\n</table>", {"table"}), ("{|\n| a || b\n\n''c''\n\n{|\n| d\n|}", {"table", "inline"}),
         ("a **b** c", {"inline"}), ("<p>a</p>", {"inline"}), ("a&nbsp;b", {"inline"}), ("<!-- x -->", {"inline"}), ("[a](b.md)", {"inline"}), ("[[a|b]]", {"inline"}), ("''a''", {"inline"}), ("\\emph{a}", {"inline"}), ("a~b\\\\", {"inline"}), ("<font size=2>a", {"inline"}), ("`a_1`", {"inline"}), ("# A **b**", {"heading", "inline"}),
         ("(a) lettered note", set()), ("- 12 -", set()), ("US$ 40 to US$ 60", set()), ("C:\\lists\\8", set()), ("plan_v2_final #4 <0.5 a & b Free*", set()), ("[OCR PENDING: page-1-region-1 — image content requires review]", set()), ("a | b | c", set()), ("-----", set()), ("[1] |x| [sic]", set()), ("", set()), ("   ", set()), ("1. Numbered", set()),
     ],
