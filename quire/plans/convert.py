@@ -127,9 +127,26 @@ def write(rows: DataFrame, folder: str, fmt: str, name: str = "") -> DataFrame:
     return out
 
 
+def flag_manifest(rows: DataFrame) -> DataFrame:
+    """doc_id, file_name, json: the flags of each document, pages in order; an empty list if it has none."""
+    flag = F.struct(F.col("f.flag_id").alias("id"), F.col("page_no").alias("source_page"), F.col("f.bbox").alias("bbox"), F.col("f.status").alias("status"), F.lit(recovery.REASON).alias("reason"), F.col("f.image_sequence").alias("image_sequence"), F.col("f.quality_warnings").alias("quality_warnings"), F.col("f.detail").alias("detail"))
+    each = rows.select("doc_id", "page_no", F.explode_outer("ocr_flags").alias("f"))
+    listed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("page_no", F.col("f.region").alias("region"), flag.alias("flag"))))).alias("l"))
+    return listed.select("doc_id", F.concat(X.stem(F.col("doc_id")), F.lit("_recovery_flags.json")).alias("file_name"), F.to_json(F.transform("l", lambda x: x["flag"])).alias("json"))
+
+
+def table_report(rows: DataFrame) -> DataFrame:
+    """doc_id, file_name, json: of each page its status, flags and number of native tables."""
+    some = (F.col("n_tables") > 0) | F.col("ocr_flags").isNotNull()
+    page = F.struct(F.col("page_no").alias("source_page"), F.when(some, "Native tables and image recovery in page order.").otherwise("No ruled table detected; review digital/borderless content.").alias("status"), F.coalesce(F.transform("ocr_flags", lambda f: F.struct(f["flag_id"].alias("id"), f["status"].alias("status"))), F.array()).alias("ocr_flags"), F.col("n_tables").alias("native_table_count"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return docs.select("doc_id", F.concat(X.stem(F.col("doc_id")), F.lit("_table_report.json")).alias("file_name"), F.to_json(F.struct(F.col("doc_id").alias("source"), F.size("pages").alias("completed_pages"), "pages")).alias("json"))
+
+
 def convert(spark: SparkSession, paths: list[str], folder: str, fmt: str = "json", pages: str = "", engine: str = "native", make_backend=None, name: str = "", store: str | None = None) -> tuple[list[str], list[tuple[str, str]]]:
     """Paths written and (document, error) of what couldn't be read. engine ``ocr`` needs a recognizer and a store.
 
+    Beside the documents a manifest of the flags is written, and for tables a report of the pages.
     Raises if pages are asked for that no file has, or if a table format finds no table."""
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {ENGINES}")
@@ -153,10 +170,12 @@ def convert(spark: SparkSession, paths: list[str], folder: str, fmt: str = "json
     else:
         results = spark.createDataFrame([], recovery.RESULTS.replace("doc_id bigint", "doc_id string"))
     done = recovered(rows, results)
+    sinks.write_files(flag_manifest(done), folder, "file_name", "json").collect()
+    reports = [r[0] for r in sinks.write_files(table_report(done), folder, "file_name", "json").collect()] if fmt in ("csv", "xlsx") else []
     paths_out = [r[0] for r in write(done, folder, fmt, name).collect()]
     if fmt in ("csv", "xlsx") and not paths_out:
-        raise ValueError("no tables exported")
-    return sorted(paths_out), failed
+        raise ValueError("no tables exported; see the table report")
+    return sorted(paths_out) + sorted(reports), failed
 
 
 def _recognize(todo: DataFrame, make_backend) -> DataFrame:

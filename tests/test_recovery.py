@@ -151,6 +151,10 @@ def test_convert_tables_with_recognition(spark, files):
     paths, _ = C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "csv", engine="ocr", make_backend=Table, store=str(files / "store"))
     rows = list(csv.reader(open(paths[0], encoding="utf-8-sig", newline="")))
     assert rows == [["0012", "A"], ["0012", "B"], ["image-001"]]
+    report = json.load(open(paths[-1], encoding="utf-8"))
+    assert [(p["source_page"], p["native_table_count"], len(p["ocr_flags"])) for p in report["pages"]] == [(1, 1, 1), (2, 0, 0)]
+    flags = json.load(open(files / "out/g_recovery_flags.json", encoding="utf-8"))
+    assert [(f["id"], f["status"], f["image_sequence"]) for f in flags] == [("page-1-region-1", "converted", 1)]
     book, _ = C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "xlsx")
     assert zipfile.is_zipfile(book[0])
 
@@ -160,6 +164,7 @@ def test_convert_errors(spark, files):
         C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), pages="9")
     with pytest.raises(ValueError, match="no tables"):
         C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), "csv", pages="2")
+    assert (files / "out/g_table_report.json").exists()
     with pytest.raises(ValueError, match="engine"):
         C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), engine="what")
     (files / "in/bad.pdf").write_bytes(b"x")
