@@ -24,78 +24,80 @@ _PARSED_ARROW = pa.struct([("tables", pa.list_(_GRID_ARROW)), ("open", pa.bool_(
 
 
 def place(rows: list[list[tuple[str, int, int]]]) -> dict | None:
-    """Cells with spans to a full grid; a spanned place is an empty string. None of an empty table."""
-    at: dict[tuple[int, int], str] = {}
+    """Cells with spans to a full grid; a spanned place is an empty string. None of an empty table.
+
+    ``busy`` holds, for each column, the row from which it is free again."""
+    busy: list[int] = []
+    values: dict[tuple[int, int], str] = {}
     merges = []
     for r, row in enumerate(rows):
         c = 0
         for value, high, wide in row:
             if high > MOST_ROWS or wide > MOST_COLUMNS:
                 raise ValueError("unreasonable span")
-            while (r, c) in at:
-                c += 1
-            spots = [(y, x) for y in range(r, r + high) for x in range(c, c + wide)]
-            if any(s in at for s in spots):
+            c = next((k for k in range(c, len(busy)) if busy[k] <= r), max(c, len(busy)))
+            busy += [0] * (c + wide - len(busy))
+            if max(busy[c : c + wide]) > r:
                 raise ValueError("overlapping cells")
-            at.update(dict.fromkeys(spots, ""))
-            at[r, c] = value
-            if len(spots) > 1:
+            busy[c : c + wide] = [r + high] * wide
+            values[r, c] = value
+            if (high, wide) != (1, 1):
                 merges.append({"r1": r + 1, "c1": c + 1, "r2": r + high, "c2": c + wide})
             c += wide
-    if not at:
+    if not busy:
         return None
-    height, width = max(y for y, _ in at) + 1, max(x for _, x in at) + 1
-    return {"rows": [[at.get((y, x), "") for x in range(width)] for y in range(height)], "merges": merges}
+    return {"rows": [[values.get((y, x), "") for x in range(len(busy))] for y in range(max(busy))], "merges": merges}
+
 
+class _Events(HTMLParser):
+    """A text as a list of events: +tag with attributes, -tag, text."""
 
-class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.rows: list | None = None
-        self.row: list | None = None
-        self.cell: tuple[list[str], int, int] | None = None
+        self.found: list[tuple[str, object]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "table":
-            if self.rows is not None:
-                raise ValueError("nested tables")
-            self.rows = []
-        elif tag == "tr" and self.rows is not None:
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            spans = dict(attrs)
-            self.cell = ([], *(max(1, int(spans.get(k) or 1)) for k in ("rowspan", "colspan")))
-        elif tag == "br" and self.cell:
-            self.cell[0].append("\n")
+        self.found.append((f"+{tag}", dict(attrs)))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.found.append((f"-{tag}", None))
 
     def handle_data(self, data: str) -> None:
-        if self.cell:
-            self.cell[0].append(data)
+        self.found.append(("text", data))
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell:
-            text, high, wide = self.cell
-            self.row.append(("".join(text).strip(), high, wide))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.rows.append(self.row)
-            self.row = None
-        elif tag == "table" and self.rows is not None:
-            grid = place(self.rows)
-            if grid:
-                self.tables.append(grid)
-            self.rows = None
+
+def _since(events: list[tuple[str, object]], opens: tuple[str, ...], closes: tuple[str, ...]) -> Iterator[tuple[object, list]]:
+    """For each closing event: the attributes of the last opening one, and what lies between. An opening that none closes gives nothing."""
+    start = None
+    for i, (kind, _) in enumerate(events):
+        if kind in opens:
+            start = i
+        elif kind in closes and start is not None:
+            yield events[start][1], events[start + 1 : i]
+            start = None
+
+
+def _cell(attributes: dict, inner: list) -> tuple[str, int, int]:
+    text = "".join("\n" if kind == "+br" else value for kind, value in inner if kind in ("+br", "text"))
+    high, wide = (max(1, int(attributes.get(k) or 1)) for k in ("rowspan", "colspan"))
+    return text.strip(), high, wide
 
 
 def read(html: str | None) -> dict:
     """tables, whether one is still open at the end, and the error of a table that can't be told."""
-    p = _Reader()
+    parser = _Events()
+    parser.feed(html or "")
+    marks = [kind for kind, _ in parser.found if kind in ("+table", "-table")]
+    if any(m == n == "+table" for m, n in zip(marks, marks[1:], strict=False)):
+        return {"tables": [], "open": False, "error": "nested tables"}
     try:
-        p.feed(html or "")
+        grids = []
+        for _, body in _since(parser.found, ("+table",), ("-table",)):
+            rows = [[_cell(a, x) for a, x in _since(row, ("+td", "+th"), ("-td", "-th"))] for _, row in _since(body, ("+tr",), ("-tr",))]
+            grids.append(place(rows))
     except ValueError as e:
         return {"tables": [], "open": False, "error": str(e)}
-    return {"tables": p.tables, "open": p.rows is not None, "error": None}
+    return {"tables": [g for g in grids if g], "open": marks[-1:] == ["+table"], "error": None}
 
 
 def _markdown_table(m: re.Match) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
-from quire.operators.layout import PAGE, objects
+from quire.operators.layout import PAGE, anchored, objects, visual_line
 
 # The labels of the columns, and what marks such a table.
 LABELS = ("Heading/Subheading", "Statistical suffix", "Article description", "Unit of quantity", "General duty", "Special duty", "Column 2 duty")
@@ -19,40 +20,29 @@ TITLE = r"(?i)Harmonized\s+Tariff\s+Schedule"
 _OUT = T.StructType([T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("lines", T.ArrayType(T.StringType()))])
 
 
-def grouped(lines: list[dict], tolerance: float = 2.0) -> list[tuple[float, list[dict]]]:
-    """Lines in rows: a row takes what is within the tolerance of its first line's foot."""
-    out: list[tuple[float, list[dict]]] = []
-    for x in sorted(lines, key=lambda o: (-o["y0"], o["x0"])):
-        if not (x["text"] or "").strip():
-            continue
-        if out and abs(out[-1][0] - x["y0"]) <= tolerance:
-            out[-1][1].append(x)
-        else:
-            out.append((x["y0"], [x]))
-    return [(y, sorted(r, key=lambda o: o["x0"])) for y, r in out]
-
-
 def page_rows(lines: list[dict], edges: list[float]) -> dict:
-    """Cells of the table's physical rows, and every row as a line."""
+    """Cells of the table's physical rows, and every row as a line.
+
+    A row takes what is within two points of its first line's foot; it is one of the table if it lies below
+    the heads and all of its lines begin between the outer edges."""
     said = lambda o: (o["text"] or "").strip()
-    table = len(edges) == 8 and any(MARK in (o["text"] or "") for o in lines)
-    floor = min((o["y0"] for o in lines if said(o) in HEADS), default=0)
-    rows, out = [], []
-    for y, row in grouped(lines):
-        if table and y < floor - 3 and all(edges[0] - 2 <= o["x0"] < edges[-1] for o in row):
-            cells = [""] * 7
+    filled = sorted((o for o in lines if said(o)), key=lambda o: (-o["y0"], o["x0"], o.get("obj_id", 0)))
+    is_table = len(edges) == len(LABELS) + 1 and any(MARK in o["text"] for o in filled)
+    top = min((o["y0"] for o in filled if said(o) in HEADS), default=0) - 3
+    starts = [e - 1 for e in edges]
+    table, out = [], []
+    for run in anchored(filled, 2):
+        row = sorted(run, key=lambda o: (o["x0"], o.get("obj_id", 0)))
+        if is_table and run[0]["y0"] < top and edges[0] - 2 <= row[0]["x0"] and row[-1]["x0"] < edges[-1]:
+            parts: dict[int, list[str]] = {}
             for o in row:
-                at = [i for i in range(7) if edges[i] - 1 <= o["x0"] < edges[i + 1] - 1]
-                if at:
-                    cells[at[0]] = f"{cells[at[0]]} {said(o)}".strip()
-            rows.append(cells)
+                parts.setdefault(bisect_right(starts, o["x0"]) - 1, []).append(said(o))
+            cells = [" ".join(parts.get(c, ())) for c in range(len(LABELS))]
+            table.append(cells)
             out.append(" | ".join(f"{k}: {v}" for k, v in zip(LABELS, cells, strict=True) if v))
         else:
-            text = ""
-            for o in row:
-                text += " " * max(1 if text else 0, max(0, round(o["x0"] / 4)) - len(text)) + said(o)
-            out.append(text.rstrip())
-    return {"rows": rows, "lines": out}
+            out.append(visual_line(row, 1).rstrip())
+    return {"rows": table, "lines": out}
 
 
 @F.arrow_udf(_OUT)
@@ -70,7 +60,7 @@ def extract(df: DataFrame) -> DataFrame:
     """doc_id, page_no, table_rows (arrays of seven cells), content of each page."""
     once = objects(df)
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    pages = once.groupBy(*PAGE).agg(F.max(F.when(F.col("kind") == "page", height)).alias("_h"), F.collect_list(F.when((F.col("kind") == "line") & (X.strip(F.coalesce("text", F.lit(""))) != ""), F.struct("x0", "x1", "y0", "y1", "text"))).alias("_l"), F.collect_list(F.when(F.col("kind").isin("rule", "rect") & (width <= 2), F.struct(height.alias("h"), F.bround((F.col("x0") + F.col("x1")) / 2, 1).alias("x")))).alias("_r"))
+    pages = once.groupBy(*PAGE).agg(F.max(F.when(F.col("kind") == "page", height)).alias("_h"), F.collect_list(F.when((F.col("kind") == "line") & (X.strip(F.coalesce("text", F.lit(""))) != ""), F.struct("obj_id", "x0", "x1", "y0", "y1", "text"))).alias("_l"), F.collect_list(F.when(F.col("kind").isin("rule", "rect") & (width <= 2), F.struct(height.alias("h"), F.bround((F.col("x0") + F.col("x1")) / 2, 1).alias("x")))).alias("_r"))
     edges = F.array_sort(F.array_distinct(F.transform(F.filter("_r", lambda r: r["h"] > F.col("_h") * 0.4), lambda r: r["x"])))
     out = pages.withColumn("_e", edges).withColumn("_x", _rows("_l", "_e"))
     return out.select(*PAGE, F.col("_x.rows").alias("table_rows"), F.array_join("_x.lines", "\n").alias("content"))
