@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import grids, hts, html_tables, layout, recovery, render
+from quire.session import ship
 from quire.sources import pdf, sinks
 
 DOC_TYPES, ENGINES, FORMATS = ("auto", "chapter", "glossary"), ("native", "ocr"), ("json", "md", "both", "csv", "xlsx")
@@ -150,6 +151,7 @@ def convert(spark: SparkSession, paths: list[str], folder: str, fmt: str = "json
     Raises if pages are asked for that no file has, or if a table format finds no table."""
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {ENGINES}")
+    ship(spark)
     wanted = set(pdf.parse_pages(pages)) if pages.strip() else None
     objects = read(spark, paths, pages)
     failed = [tuple(r) for r in errors(objects).collect()]

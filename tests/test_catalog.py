@@ -30,6 +30,19 @@ def test_entry(spark, data):
     assert all(callable(f) for f in e.queries().values())
 
 
+def test_workers_need_no_path(tmp_path, data):
+    """Queries with Python parts run where the workers can't import the package from their folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r})\nfrom quire.session import session\nimport __spark_entry__ as e\ns = session(master='local[2]')\nprint('ROWS', e.queries()['merged_regions'](s, {data!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
 def test_sources_hold_no_limits_on_rows():
     """Queries read whole tables: only the report of the most frequent lines has a limit."""
     import pathlib
