@@ -6,8 +6,9 @@ dialect and mark they are written in). The DOMs of one source are merged: a pres
 counts the pages that have it and its distinct contents. Importance is by entropy: a
 presentation node is important if its pages differ in how they go on (the entropy of its
 children's styles), a content node if it isn't spread evenly over the source's pages
-(1 - log(pages with it) / log(pages)). Branches of low importance are removed from each page;
-the rest is written as clean text in which headings, lists, code, formulas and tables can
+(1 - log(pages with it) / log(pages)). Branches of low importance that stand on a fixed share
+of the source's pages are removed from each page, so that the same text is removed at every
+size of a source; contents are compared with their figures and signs. The rest is written as clean text in which headings, lists, code, formulas and tables can
 still be told, with inline marks gone and entities resolved.
 
 Parsing is a line-wise scan in Arrow batches; texts without any mark (a quick check in the
@@ -349,8 +350,10 @@ def render(n: Node) -> str:
 
 
 def _feature(n: Node) -> str:
-    """What of a node's content is compared between pages: letters alone, in lower case."""
-    return re.sub(r"[\W\d_]+", "", n.body.lower())
+    """What of a node's content is compared between pages: all but blanks and letter case; nothing of nodes without a letter, which aren't compared.
+
+    Figures and signs count, as lines, lists and tables that differ in them alone are different text."""
+    return " ".join(n.body.lower().split()) if re.search(r"[^\W\d_]", n.body) else ""
 
 
 NODE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("style", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("clean", T.StringType())])
@@ -408,6 +411,8 @@ def found_kinds(sections: DataFrame, keys: tuple[str, ...] = ("section_key",)) -
 #: Least importance a branch must have to stay, and the fewest pages on which a source can show its style.
 LEAST_IMPORTANCE = 0.35
 LEAST_PAGES = 5
+#: Share of its source's pages that a content node must stand on to be removed, whatever its importance: by entropy alone that share sinks as a source grows.
+LEAST_SHARE = 0.2
 
 
 def dom(sections: DataFrame, documents: DataFrame) -> DataFrame:
@@ -417,7 +422,7 @@ def dom(sections: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def style_tree(doms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Presentation nodes (source, kind, style, pages, importance) and content nodes (source, kind, style, feature, importance) of each source."""
+    """Presentation nodes (source, kind, style, importance, n) and content nodes (source, kind, style, feature, importance, share of the source's pages) of each source."""
     nodes = F.col("dom.nodes")
     slim = F.transform(nodes, lambda x, i: F.struct(x["kind"].alias("kind"), x["style"].alias("style"), F.xxhash64(x["feature"]).alias("feature"), F.length(x["feature"]).alias("size"), F.coalesce(F.get(nodes, i + 1)["kind"], F.lit("end")).alias("next")))
     flat = doms.where(F.col("source").isNotNull()).select("source", "section_key", slim.alias("x")).select("source", "section_key", F.inline_outer("x")).where(F.col("kind").isNotNull())
@@ -434,20 +439,20 @@ def style_tree(doms: DataFrame) -> tuple[DataFrame, DataFrame]:
     # content: spread over the pages of the source
     once = flat.where(F.col("size") > 0).groupBy("source", "kind", "style", "feature", "section_key").agg(F.lit(1).alias("one"))
     spread = once.groupBy("source", "kind", "style", "feature").agg(F.count("*").alias("k")).where("k > 1").join(pages, "source")
-    content = spread.where(F.col("m") >= LEAST_PAGES).select("source", "kind", "style", "feature", (1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double"))).alias("importance"))
+    content = spread.where(F.col("m") >= LEAST_PAGES).select("source", "kind", "style", "feature", (1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double"))).alias("importance"), (F.col("k") / F.col("m")).alias("share"))
     return presentation, content
 
 
-def clean_text(sections: DataFrame, documents: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def clean_text(sections: DataFrame, documents: DataFrame, least: float = LEAST_IMPORTANCE, least_share: float = LEAST_SHARE) -> DataFrame:
     """section_key, field, region, clean, n_removed: each field's clean text without its source's branches of low importance.
 
-    Only content nodes spread over the source's pages are removed; their importance is averaged with that of their presentation, which keeps what varies (tables, code) and drops fixed furniture."""
+    Only content nodes on a fixed share of the source's pages are removed, each in the kind and style it has there; their importance is averaged with that of their presentation, which keeps what varies (tables, code) and drops fixed furniture."""
     doms = dom(sections, documents)
     presentation, content = style_tree(doms)
     low = content.join(presentation.select("source", "kind", "style", F.least(F.col("importance"), F.lit(1.0)).alias("shown")), ["source", "kind", "style"])
-    low = low.where(0.8 * F.col("importance") + 0.2 * F.col("shown") < least).groupBy("source").agg(F.collect_set("feature").alias("_low"))
-    # the features removed of a source: at most its mean number of nodes a page divided by the share of pages a removed node must fill
+    low = low.where((F.col("share") >= least_share) & (0.8 * F.col("importance") + 0.2 * F.col("shown") < least)).groupBy("source").agg(F.collect_set(F.xxhash64("kind", "style", "feature")).alias("_low"))
+    # the nodes removed of a source: at most its mean number of nodes a page divided by the share of pages a removed node must fill
     joined = doms.join(low, "source", "left")
-    kept = F.filter("dom.nodes", lambda x: (F.length(x["feature"]) == 0) | ~F.coalesce(F.array_contains("_low", F.xxhash64(x["feature"])), F.lit(False)))
+    kept = F.filter("dom.nodes", lambda x: (F.length(x["feature"]) == 0) | ~F.coalesce(F.array_contains("_low", F.xxhash64(x["kind"], x["style"], F.xxhash64(x["feature"]))), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda x: x["clean"]), "\n")
     return joined.select("section_key", "field", "region", F.regexp_replace(text, "\n{3,}", "\n\n").alias("clean"), (F.size("dom.nodes") - F.size(kept)).alias("n_removed"))

@@ -58,6 +58,19 @@ def test_style_tree_drops_fixed_branches(spark):
     assert len(got) == 40 and all(r.n_removed == 1 and "Share" not in r.clean and r.clean.startswith("# ") for r in got)
 
 
+def test_style_tree_keeps_real_text(spark):
+    """Lines that differ in figures, what few of many pages share, and other kinds of a removed text stay."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    figures = lambda k: f"Heading {k}.{k + 7} takes {k} %"
+    rows = [(k, k, f"{word()} {word()}\n\n{figures(k)}\n\nShare this page\n\n{'On some pages' if k % 12 == 0 else word()}\n\n{'# Share this page' if k == 3 else word()}", None, None, None) for k in range(600)]
+    df = spark.createDataFrame(rows, "section_key bigint, doc_id bigint, content string, ocr_markdown string, image_ocr array<struct<region:int,markdown:string>>, loaded_at timestamp")
+    docs = spark.createDataFrame([(k, "s") for k in range(600)], "doc_id bigint, source string")
+    got = {r.section_key: r for r in markup.clean_text(df, docs).collect()}
+    assert all(figures(k) in r.clean and "\nShare" not in r.clean and r.n_removed == 1 for k, r in got.items())
+    assert all("On some pages" in got[k].clean for k in range(0, 600, 12)) and "# Share this page" in got[3].clean
+
+
 # --- lines of a source
 
 
