@@ -31,6 +31,12 @@ def read(spark: SparkSession, paths: list[str], pages: str = "") -> DataFrame:
     return out
 
 
+def document_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """doc_id, digest: of each document the digest of its own bytes; of all its files where several have one name."""
+    each = pdf.digests(spark.read.format("binaryFile").load(paths)).select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "digest")
+    return each.groupBy("doc_id").agg(F.array_sort(F.collect_set("digest")).alias("d")).select("doc_id", F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(F.sha2(F.array_join("d", ","), 256)).alias("digest"))
+
+
 def errors(objects: DataFrame) -> DataFrame:
     return objects.where("kind = 'error'").select("doc_id", F.col("text").alias("error"))
 
@@ -163,8 +169,7 @@ def convert(spark: SparkSession, paths: list[str], folder: str, fmt: str = "json
     if engine == "ocr":
         if make_backend is None or store is None:
             raise ValueError("recognition needs a backend and a store")
-        digest = ",".join(sorted(r[0] for r in pdf.digests(spark.read.format("binaryFile").load(paths)).select("digest").collect()))
-        kept = recovery.Store(spark, store, digest[:64], POLICY)
+        kept = recovery.Store(spark, store, document_digests(spark, paths), POLICY)
         todo = recovery.pending(recovery.flags(rows), kept.read(recovery.RESULTS.replace("bigint", "string")))
         kept.add(_recognize(todo, make_backend))
         results = kept.read(recovery.RESULTS.replace("bigint", "string"))

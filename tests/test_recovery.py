@@ -159,6 +159,29 @@ def test_convert_tables_with_recognition(spark, files):
     assert zipfile.is_zipfile(book[0])
 
 
+def test_changed_file_is_recognized_again(spark, files, make_pdf):
+    """Results are kept by each document's own digest, so a file that changes under its name gets new ones and the others keep theirs."""
+    image = b"q 100 0 0 100 40 400 cm BI /W 1 /H 1 /BPC 8 /CS /G ID \x80 EI Q "
+    names = ["g.pdf", "h.pdf", "i j%20é.pdf"]
+    for k, name in enumerate(names):
+        (files / "in" / name).write_bytes(make_pdf(image + b" " * k))
+
+    def run(said):
+        class Says:
+            def predict(self, rows):
+                return [(said, "{}")]
+
+        C.convert(spark, [str(files / "in/*.pdf")], str(files / "out"), "json", engine="ocr", make_backend=Says, store=str(files / "store"))
+        docs = {name: json.load(open(files / "out" / name.replace(".pdf", "_rag.json"), encoding="utf-8")) for name in names}
+        return {name: d["sections"][0]["content"] for name, d in docs.items()}
+
+    assert set(run("first").values()) == {"first"}
+    for k, name in enumerate(names, 2):
+        (files / "in" / name).write_bytes(make_pdf(image + b" " * (k + 9)))
+        assert run(f"changed {name}")[name] == f"changed {name}"
+    assert run("again") == {name: f"changed {name}" for name in names}
+
+
 def test_convert_errors(spark, files):
     with pytest.raises(ValueError, match="out of range"):
         C.convert(spark, [str(files / "in/g.pdf")], str(files / "out"), pages="9")
