@@ -48,6 +48,8 @@ COMMON = 1 << 16
 RATIO, LEAST = 8, 4
 #: Longest word looked up, and longest that may part into several.
 LONGEST, RUN = 32, 80
+#: Letters that are a word.
+ALONE = "aàyoeиікв"
 #: Pages that make a line a running title, and the share of a document's pages.
 TITLE_PAGES, TITLE_SHARE = 3, 0.25
 #: Longest line that may be one.
@@ -312,7 +314,12 @@ class Lexicon:
         # of the common words those that are several go (at most as many as there are common words); then longer ones part at them too
         for r in self.parted().join(top, "word").select("word").collect():
             del self.common[r["word"]]
-        self.lost = self.parted().checkpoint()
+        near = self.parted().checkpoint()
+        # what the common words don't part, the whole lexicon may; such words are no common ones either
+        far = self.parted_by_key(near).checkpoint()
+        for r in far.join(top, "word").select("word").collect():
+            self.common.pop(r["word"], None)
+        self.lost = near.unionByName(far)
 
     def _cuts(self) -> DataFrame:
         """Cut words with what goes on, within a page and over its end: the joined and the hyphenated word with their counts."""
@@ -347,8 +354,32 @@ class Lexicon:
                 words = b.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([part_word(w, known, total) for w in words], pa.list_(pa.string()))], names=["word", "parts"])
 
-        rest = self.words.join(self.candidates.select("word").distinct(), "word", "left_anti").where(F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & F.length("word").between(5, RUN))
-        split = rest.select("word").mapInArrow(part, "word string, parts array<string>").where(F.size("parts") > 1)
+        return self._known(self._runs().mapInArrow(part, "word string, parts array<string>").where(F.size("parts") > 1))
+
+    def parted_by_key(self, lost: DataFrame) -> DataFrame:
+        """word, parts: the same by the whole lexicon, of the words that aren't lost already: their substrings meet its words by key."""
+        runs = self._runs().join(lost, "word", "left_anti")
+        total = self.words.agg(F.sum("n")).first()[0] or 1
+        whole = self.words.join(lost, "word", "left_anti").select(F.col("word").alias("part"), F.col("n").alias("c"))
+        met = runs.mapInArrow(_substrings, "word string, part string").join(whole, "part")
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def part(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for words, known in batches:
+                yield pa.array([part_word(w, {x["part"]: x["c"] for x in k}, total) for w, k in zip(words.to_pylist(), known.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+        each = met.groupBy("word").agg(F.collect_list(F.struct("part", "c")).alias("known"))
+        split = each.select("word", part("word", "known").alias("parts")).where(F.size("parts") > 1)
+        checkpoint = split.checkpoint()  # read twice
+        return self._known(checkpoint)
+
+    def _runs(self) -> DataFrame:
+        """word: what may be several words."""
+        free = self.words.join(self.candidates.select("word").distinct(), "word", "left_anti")
+        return free.where(F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & F.length("word").between(5, RUN)).select("word")
+
+    def _known(self, split: DataFrame) -> DataFrame:
+        """Of words with their parts those whose pairs speak for the parts."""
         # a word more frequent than the pair it would be is a word
         pairs = split.select("word", F.posexplode(F.zip_with(F.slice("parts", F.lit(1), F.size("parts") - 1), F.slice("parts", F.lit(2), F.size("parts") - 1), lambda x, y: F.struct(x.alias("w1"), y.alias("w2")))).alias("i", "p"))
         seen = pairs.select("word", "i", "p.w1", "p.w2").join(self.pairs(), ["w1", "w2"], "left")
@@ -426,15 +457,23 @@ class Lexicon:
         return rows.select("section_key", "field", "region", "line_no", "to_section", "to_line", "w1", "w2", "whole", bad.alias("bad"))
 
 
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with all its shorter pieces that may be a part."""
+    for b in batches:
+        for words in (b.column(0).to_pylist()[k : k + 500] for k in range(0, b.num_rows, 500)):
+            rows = [(w, p) for w in words for p in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w)} if len(p) > 1 or p in ALONE]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["word", "part"])
+
+
 def part_word(word: str, known: dict[str, int], total: int) -> list[str]:
     """The likeliest way to part a word into known words of two letters or more (or of one that stands alone); the word itself if none."""
     n = len(word)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
     for end in range(1, n + 1):
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(end):
             w = word[start:end]
             c = known.get(w) if end - start < n else None
-            if c is None or best[start][0] == -math.inf or (len(w) == 1 and w not in "aàyoeиікв") or (len(w) <= 3 and c < 20):
+            if c is None or best[start][0] == -math.inf or (len(w) == 1 and w not in ALONE) or (len(w) <= 3 and c < 20):
                 continue
             s = best[start][0] + math.log(c / total) - 1
             if s > best[end][0]:

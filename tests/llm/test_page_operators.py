@@ -213,3 +213,16 @@ def test_columns_as_given(spark, data, name, columns):
     df = queries.QUERIES[name](spark, data)
     assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == columns
     assert df.count() == df.distinct().count()
+
+
+def test_runs_part_at_words_of_the_whole_lexicon(spark):
+    """Parts that are no common word: seen once, beyond the number of common words, or with a look-alike far more frequent."""
+    lines = ["river harbour bridge valley"] * 30 + ["the market opens"] * 30 + ["zwick fahnlog", "a zwickfahnlog b"]  # seen once each
+    lines += ["tho markets opens"] * 3 + ["thomarkets are"]
+    lines += [f"{w} quibble" for w in ["marhet"] * 3] + ["marhetquibble goes"] + ["market goes"] * 90
+    df = spark.createDataFrame([(1, 1, 1, "\n".join(lines), None, None, None)], "section_key bigint, doc_id bigint, source_page int, raw_text string, ocr_markdown string, image_ocr array<struct<region:int,markdown:string>>, loaded_at timestamp")
+    few = scan_noise.Lexicon(df, common=3)
+    lost = {r.word: r.parts for r in few.lost.collect()}
+    assert lost["zwickfahnlog"] == ["zwick", "fahnlog"] and lost["marhetquibble"] == ["marhet", "quibble"]
+    assert lost == {r.word: r.parts for r in scan_noise.Lexicon(df).lost.collect()}
+    assert {r.word for r in few.repairs().where("repair like '% %'").collect()} == set(lost)
