@@ -46,8 +46,8 @@ PAIRS = {("c", "e"): 0.5, ("5", "s"): 0.3, ("l", "i"): 0.4, ("f", "t"): 0.5, ("0
 COMMON = 1 << 16
 #: A candidate is so many times as frequent as the word it would stand for, and so frequent at least.
 RATIO, LEAST = 8, 4
-#: Longest word looked up, and longest that may part into several.
-LONGEST, RUN = 32, 80
+#: Longest run of letters that is counted as a word.
+RUN = 80
 #: Letters that are a word.
 ALONE = "aàyoeиікв"
 #: Pages that make a line a running title, and the share of a document's pages.
@@ -250,11 +250,10 @@ def _deletes(word: str, side: int) -> set[str]:
     """Keys of a word with one or two confusable spots taken out; side 0 as read, 1 as meant."""
     spots = [(i, p[side], p) for p in PAIRS for i in range(len(word) - len(p[side]) + 1) if word.startswith(p[side], i)]
     keys = {f"{i}|{p[0]}>{p[1]}|{word[:i]}{word[i + len(s) :]}" for i, s, p in spots}
-    if len(word) <= 20:
-        for i, s, p in spots:
-            for j, t, q in spots:
-                if j >= i + len(s):
-                    keys.add(f"{i}|{p[0]}>{p[1]}|{j - i - len(s)}|{q[0]}>{q[1]}|{word[:i]}{word[i + len(s) : j]}{word[j + len(t) :]}")
+    for i, s, p in spots:
+        for j, t, q in spots:
+            if j >= i + len(s):
+                keys.add(f"{i}|{p[0]}>{p[1]}|{j - i - len(s)}|{q[0]}>{q[1]}|{word[:i]}{word[i + len(s) : j]}{word[j + len(t) :]}")
     return keys
 
 
@@ -332,17 +331,17 @@ class Lexicon:
         return both.join(n("word", "n_joined"), "word", "left").join(n("with_hyphen", "n_hyphen"), "with_hyphen", "left").fillna(0, ["n_joined", "n_hyphen"]).checkpoint()
 
     def _candidates(self) -> DataFrame:
-        """word, n, meant, n_meant, d, rank: repairs of rare words, best first."""
+        """word, n, meant, n_meant, d, rank: all repairs of rare words, best first."""
         rare = self.words.where(~F.col("word").contains("-")).unionByName(self.cuts.where("n_joined = 0 and n_hyphen = 0").select("word", F.lit(1).cast("bigint").alias("n")).distinct())
-        spaced = rare.where(F.col("word").rlike(_SPACED.pattern) & (F.length("word").between(2, LONGEST)) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike("^[ivxlcdm]+$"))
+        spaced = rare.where(F.col("word").rlike(_SPACED.pattern) & (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike("^[ivxlcdm]+$"))
         rare = spaced.groupBy("word").agg(F.max("n").alias("n"))
-        meant = self.words.where((F.col("n") >= LEAST) & F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & F.length("word").between(2, LONGEST))
+        meant = self.words.where((F.col("n") >= LEAST) & F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & (F.length("word") >= 2))
         a = rare.select("word", "n", F.explode(_read_keys("word")).alias("key"))
         b = meant.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(_meant_keys("word")).alias("key"))
         met = a.join(b, "key").where((F.col("word") != F.col("meant")) & (F.col("n_meant") >= F.col("n") * RATIO)).select("word", "n", "meant", "n_meant").distinct()
         near = met.withColumn("d", _distance("word", "meant")).where(F.col("d") <= F.when(F.length("word") >= 6, 1.2).otherwise(0.8))
         order = Window.partitionBy("word").orderBy(F.col("d") - 0.05 * F.log("n_meant"), "meant")
-        return near.withColumn("rank", F.row_number().over(order)).where("rank <= 8")
+        return near.withColumn("rank", F.row_number().over(order))
 
     def parted(self) -> DataFrame:
         """word, parts: words that are several common words without their blanks, each pair of them known."""

@@ -226,3 +226,19 @@ def test_runs_part_at_words_of_the_whole_lexicon(spark):
     assert lost["zwickfahnlog"] == ["zwick", "fahnlog"] and lost["marhetquibble"] == ["marhet", "quibble"]
     assert lost == {r.word: r.parts for r in scan_noise.Lexicon(df).lost.collect()}
     assert {r.word for r in few.repairs().where("repair like '% %'").collect()} == set(lost)
+
+
+def test_candidates_of_long_words_and_of_many_neighbours(spark):
+    """Two misread spots in words of over 20 letters, one in words of over 32, and more than eight candidates, of which the neighbours pick."""
+    long, longer = "rechtsschutzversicherungen", "donaudampfschifffahrtselektrizitaetenhauptbetrieb"
+    short = "cocacncc"  # each c may be an e: 5 candidates of one spot and 10 of two
+    at = [i for i, c in enumerate(short) if c == "c"]
+    put = lambda *spots: "".join("e" if i in spots else c for i, c in enumerate(short))
+    meant = [put(i) for i in at] + [put(i, j) for i in at for j in at if i < j]
+    lines = [f"die {long} gelten"] * 20 + [f"die {longer} fahren"] * 20 + ["die rcchtsschutzvers1cherungen gelten", "die donaudampfschifffahrtselektrizitaetenhauptbetr1eb fahren"]
+    lines += [f"vor {w} nach" for w in meant[:-1] for _ in range(20)] + [f"xylophon {meant[-1]} quartett"] * 10 + [f"xylophon {short} quartett"]
+    df = spark.createDataFrame([(1, 1, 1, "\n".join(lines), None, None, None)], "section_key bigint, doc_id bigint, source_page int, raw_text string, ocr_markdown string, image_ocr array<struct<region:int,markdown:string>>, loaded_at timestamp")
+    x = scan_noise.Lexicon(df)
+    got = {r.word: r.repair for r in x.repairs().select("word", "repair").collect()}
+    assert got["rcchtsschutzvers1cherungen"] == long and got["donaudampfschifffahrtselektrizitaetenhauptbetr1eb"] == longer
+    assert x.candidates.where(f"word = '{short}'").count() == 15 and got[short] == meant[-1]
