@@ -29,31 +29,79 @@ from pyspark.sql import types as T
 CYRILLIC = dict(zip("аеорсухіѕјԁһԛԝӏАВЕКМНОРСТХУІЅЈԚԜ", "aeopcyxisjdhqwlABEKMHOPCTXYISJQW", strict=True))
 GREEK = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX", strict=True))
 SIGNS = {"\u2010": "-", "\u2011": "-", "\u2236": ":", "\u2215": "/", "\u037e": ";", "\u2024": ".", "\u01c3": "!", "\u201a": ","}
-SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u0085"
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff"
+SPACES = "\u00a0\u2800\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u0085"
+#: Default_Ignorable_Code_Point.
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 
 LETTERS = CYRILLIC | GREEK
 _LOOKS = "".join(LETTERS)
 #: Letters that only the one script has; a word with one of them is a real word of it.
-_MARKS = "\u0300-\u036f"
-_COMPAT = "\uff01-\uffee\ufb00-\ufb06\U0001d400-\U0001d7ff"
+#: Compatibility forms whose look is that of what they stand for, by the tag of their decomposition; of those tagged compat some blocks (digraphs, roman numerals, Hebrew symbols, radicals, ligatures).
+_LOOK_TAGS = ("<font>", "<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+_COMPAT_BLOCKS = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2135, 0x2138), (0x2160, 0x217F), (0x2E80, 0x2FD5), (0xFB00, 0xFB17))
 
-#: Quick check in Java's dialect: No or Maybe.
+
+def _is_compat(c: str) -> bool:
+    tag = unicodedata.decomposition(c).split(" ")[0]
+    if tag == "<compat>":
+        return any(a <= ord(c) <= b for a, b in _COMPAT_BLOCKS)
+    if tag in ("<initial>", "<medial>", "<final>", "<isolated>"):  # some stand on a blank, or for a phrase
+        return all(unicodedata.category(x)[0] in "LM" for x in unicodedata.normalize("NFKC", c))
+    return tag in _LOOK_TAGS
+
+
+def _ranges(codes: set[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
+def _classes() -> tuple[set[int], set[int], set[int]]:
+    """Over all code points: compatibility forms, those with NFC_QC No or Maybe, those with a combining class."""
+    compat, nfc, marks = set(range(0xFF01, 0xFFEF)), {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}, set()
+    for k in range(0x80, 0x110000):
+        c = chr(k)
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c):
+            marks.add(k)
+        if not parts:
+            continue
+        if parts[0] == "<":
+            if _is_compat(c):
+                compat.add(k)
+        elif unicodedata.normalize("NFC", c) != c:
+            nfc.add(k)
+        else:
+            nfc.add(int(parts.split(" ")[-1], 16))  # composes with what stands before it
+    return compat, nfc, marks
+
+
+_COMPAT_CODES, _NFC_CODES, _MARK_CODES = _classes()
+_COMPAT = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(_COMPAT_CODES))
+
+#: Quick check in Java's dialect: No or Maybe, marks that may be out of order; one class below U+2000 and one above, so that a character is compared with few ranges.
 _J = lambda s: "".join(f"\\x{{{ord(c):x}}}" if c != "-" else "-" for c in s)
+_J_CODES = lambda codes: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(codes))
+_UNSTABLE = {*map(ord, SPACES), *map(ord, SIGNS)} | _COMPAT_CODES | _NFC_CODES | {k for a, b in re.findall("(.)(?:-(.))?", INVISIBLE) for k in range(ord(a), ord(b or a) + 1)}
 QUICK_CHECK = (
-    f"[{_J(SPACES)}{_J(INVISIBLE)}{_J(_MARKS)}{_J(_COMPAT)}{''.join(f'\\x{{{ord(c):x}}}' for c in SIGNS)}]"
+    f"[\\x{{80}}-\\x{{1fff}}&&[{_J_CODES({k for k in _UNSTABLE if k < 0x2000})}]]|[\\x{{2000}}-\\x{{10ffff}}&&[{_J_CODES({k for k in _UNSTABLE if k >= 0x2000})}]]"
+    f"|[\\x{{300}}-\\x{{10ffff}}&&[{_J_CODES(_MARK_CODES)}]]{{2}}"
     r"|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}"
     f"|(?<!\\p{{L}})[{_LOOKS}]+(?!\\p{{L}})"
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_HARD = re.compile(f"[{SPACES}{INVISIBLE}{_MARKS}{_COMPAT}{''.join(map(re.escape, SIGNS))}]")
+_HARD = re.compile(f"[{SPACES}{INVISIBLE}{_COMPAT}{''.join(map(re.escape, SIGNS))}]")
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
 _OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 _REAL = re.compile(f"[\u0370-\u03ff\u0400-\u052f](?<![{_LOOKS}])")
 _CJK = re.compile("[\u3001-\u30ff\u3400-\u9fff\uf900-\ufaff\uff0c\uff0e\uff1a\uff1b\uff01\uff1f\uac00-\ud7af]")
 _JOINS = re.compile("[\u0600-\u06ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\U0001f000-\U0001faff\u2600-\u27bf]")
-_BASE = re.compile(f"[A-Za-z\u00c0-\u052f][{_MARKS}]+")
+_TAGGED = re.compile("\U0001f3f4[\U000e0020-\U000e007e]*$")
 _BACK = {v: k for k, v in CYRILLIC.items() if k not in "іѕјԁһԛԝӏІЅЈԚԜ"}
 
 
@@ -61,6 +109,8 @@ def _sign(line: str, i: int) -> str:
     """What the unstable character at i becomes, from its neighbours."""
     c = line[i]
     before, after = line[i - 1 : i], line[i + 1 : i + 2]
+    if "\U000e0020" <= c <= "\U000e007f":  # tags belong to a flag
+        return c if _TAGGED.search(line[:i]) else ""
     if c in "\u200c\u200d" or "\ufe00" <= c <= "\ufe0f":
         return c if before and _JOINS.match(before) else ""
     if re.match(f"[{INVISIBLE}]", c):
@@ -126,9 +176,8 @@ def canonical_line(line: str) -> str:
                 out += [line[at : m.start()], new]
                 at = m.end()
     line = "".join(out) + line[at:]
-    if not unicodedata.is_normalized("NFC", line):
-        line = _BASE.sub(lambda m: unicodedata.normalize("NFC", m.group()), line)
-    return _words(line)
+    # each segment from its starter on: what is stable stays as it is
+    return _words(unicodedata.normalize("NFC", line))
 
 
 def canonical_text(text: str) -> str:

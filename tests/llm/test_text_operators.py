@@ -30,6 +30,22 @@ def test_no_cases(line):
     assert charforms.canonical_line(line) == line
 
 
+OF_EVERY_SCRIPT = [
+    ("5 \u212a, 3 \u212b", "5 K, 3 \u00c5"), ("\u304b\u3099", "\u304c"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0958", "\u0915\u093c"), ("\uf900", "\u8c48"), ("\u2172 \u2163", "iii IV"), ("a\u3164b", "ab"), ("a\u2800b", "a b"),
+    ("x\U000e0041\u845b\U000e0100", "x\u845b"), ("\ufedf\ufe8e", "\u0644\u0627"), ("\u2f00", "\u4e00"), ("\u05d0\u05b8\u05bc", "\u05d0\u05b8\u05bc"), ("\u05d0\u05bc\u05b8", "\u05d0\u05b8\u05bc"), ("\u0e33 \u00b5 \u3131 \u2026 \u2103 \u2116", "\u0e33 \u00b5 \u3131 \u2026 \u2103 \u2116"),
+    ("\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f3f4\U000e0067\U000e0062\U000e007f"),
+]
+
+
+def test_forms_of_every_script(spark):
+    assert [charforms.canonical_line(a) for a, _ in OF_EVERY_SCRIPT] == [b for _, b in OF_EVERY_SCRIPT]
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(OF_EVERY_SCRIPT)], "section_key int, raw_text string")
+    assert {r.section_key for r in charforms.changed_lines(df).collect()} == {k for k, (a, b) in enumerate(OF_EVERY_SCRIPT) if a != b}
+    chars = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    lines = [x for x in (f"a{a}{b}" for a in ("", "\u304b", "\u1112") for b in chars) if unicodedata.normalize("NFC", x) != x]
+    assert len(lines) > 1000 and spark.createDataFrame([(x,) for x in lines], "s string").where(~charforms.unstable(F.col("s"))).count() == 0
+
+
 @given(st.text(alphabet=st.characters(codec="utf-8", exclude_characters="\n"), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_form_is_stable(line):
