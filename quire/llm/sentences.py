@@ -72,9 +72,9 @@ _ALL_ENDS = _ENDS.replace("FIRST", f"{_END};\u037e\u0e01-\u0e5b")
 _LATER = "[\u037e\u0589-\u1fff\u3000-\uffdf]"
 _BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + PART + ITEM
 
-#: By opening mark: a quotation of 400 characters at most, within a part.
-_QUOTED = {a: f"{before}{a}([^{a}{b}{PART}]{{0,400}})[{b}]" for a, b, before in (("\u201e", "\u201c\u201d", ""), ("\u201c", "\u201d", ""), ("\u00ab", "\u00bb", ""), ("\u300c", "\u300d", ""), ("\u300e", "\u300f", ""), ('"', '"', ""))}
-_QUOTED['"'] = f'"(?<![\\p{{L}}\\p{{N}}]")([^"{PART}]{{0,400}})"'
+#: By opening mark: a quotation of any length, within a part.
+_QUOTED = {a: f"{before}{a}([^{a}{b}{PART}]*+)[{b}]" for a, b, before in (("\u201e", "\u201c\u201d", ""), ("\u201c", "\u201d", ""), ("\u00ab", "\u00bb", ""), ("\u300c", "\u300d", ""), ("\u300e", "\u300f", ""), ('"', '"', ""))}
+_QUOTED['"'] = f'"(?<![\\p{{L}}\\p{{N}}]")([^"{PART}]*+)"'
 
 
 def _holds(text: Column, marks: str) -> Column:
@@ -114,7 +114,8 @@ def _quotes(t: DataFrame, out: str) -> DataFrame:
     c = F.col(out)
     for opens, pattern in _QUOTED.items():
         t = t.withColumn(out, F.when(c.contains(opens), F.regexp_replace(c, pattern, f"{OPEN}$1{CLOSE}")).otherwise(c))
-    inner = f"((?:{OPEN}|(?!\\A)\\G)[^{OPEN}{CLOSE}{_END}]*)[{_END}](?=[^{OPEN}{CLOSE}]*[^{OPEN}{CLOSE}\\s][^{OPEN}{CLOSE}]*{CLOSE})"
+    # looked for once a quotation, not at each of its end marks: does it close before another opens
+    inner = f"((?:{OPEN}(?=[^{OPEN}{CLOSE}]*+{CLOSE})|(?!\\A)\\G)[^{OPEN}{CLOSE}{_END}]*+)[{_END}](?!\\s*+{CLOSE})"
     return t.withColumn(out, F.when(c.contains(OPEN), F.regexp_replace(c, inner, f"$1{MASK}")).otherwise(c))
 
 

@@ -204,6 +204,13 @@ def test_very_long_text(spark):
     assert got[1] == 20_000 and got[2] == 1
 
 
+def test_long_quotation_is_one_sentence(spark):
+    inner = "Keep it dry. Do not stack. " * 20_000
+    texts = [f"It reads {a}{inner}{b} on all. Next." for a, b in ('""', "\u201c\u201d", "\u201e\u201c", "\u00ab\u00bb")]
+    got = sentences.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id", "sentence_no").collect()
+    assert [r.sentence for r in got] == [x for t in texts for x in (t[: -len(" Next.")], "Next.")]
+
+
 # --- mixture
 
 
