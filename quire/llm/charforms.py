@@ -2,9 +2,11 @@
 
 Method: a quick-check class decides, in the JVM, which lines may be unstable (code points
 whose normalization quick check is No or Maybe, or which stand for another of the same look).
-Only those lines go to Arrow batches, where each unstable segment is isolated, normalized
-with the context at its boundaries (the base letter before a combining mark, the script of the
-word and of the words beside it), and spliced into the text, which is otherwise unchanged.
+Only those lines go to Arrow batches, where each unstable segment (a starter that is stable with
+the run of unstable characters and marks behind it, or such a run at a line's start) is
+isolated, normalized with the context at its boundaries (the base letter before a combining
+mark, the script of the word and of the words beside it), and spliced into the text, which is
+otherwise unchanged.
 
 Kept as they are: words of other scripts, symbols named by a Greek letter, full-width
 punctuation beside Chinese and Japanese, composed accents, typographic quotes, apostrophes and
@@ -20,7 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +96,8 @@ QUICK_CHECK = (
     f"|(?<!\\p{{L}})[{_LOOKS}]+(?!\\p{{L}})"
 )
 
+#: A segment that NFC may change: with the starter before it, with which it may compose.
+_SEGMENT = re.compile(f"[^\\n]?[{''.join(f'{chr(a)}-{chr(b)}' for a, b in _ranges(_NFC_CODES | _MARK_CODES))}]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HARD = re.compile(f"[{SPACES}{INVISIBLE}{_COMPAT}{''.join(map(re.escape, SIGNS))}]")
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
@@ -164,6 +168,11 @@ def _words(line: str) -> str:
     return "".join(out) + line[at:]
 
 
+def _composed(line: str) -> str:
+    """The line with each unstable segment in NFC."""
+    return _SEGMENT.sub(lambda m: unicodedata.normalize("NFC", m.group()), line)
+
+
 def canonical_line(line: str) -> str:
     """The one form of a line."""
     if line.isascii():
@@ -175,19 +184,21 @@ def canonical_line(line: str) -> str:
             if new != m.group():
                 out += [line[at : m.start()], new]
                 at = m.end()
-    line = "".join(out) + line[at:]
-    # each segment from its starter on: what is stable stays as it is
-    return _words(unicodedata.normalize("NFC", line))
+    line = _composed("".join(out) + line[at:])
+    # a letter that became Latin may compose with the mark behind it, and so make its word longer
+    while (folded := _composed(_words(line))) != line:
+        line = folded
+    return line
 
 
 def canonical_text(text: str) -> str:
     return "\n".join(map(canonical_line, text.split("\n")))
 
 
-@F.pandas_udf(T.StringType())
-def _canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: None if t is None else canonical_text(t))
+@F.arrow_udf(T.StringType())
+def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([None if t is None else canonical_text(t) for t in texts.to_pylist()], pa.string())
 
 
 def unstable(text: Column) -> Column:

@@ -6,9 +6,16 @@ within their source, and the source's stream (its documents in shuffled order, a
 up to ``max_repeats`` times) is cut into blocks of equally many tokens; slot of rank r takes
 block r. Every prefix of the mixture is close to the target shares, and any two runs agree.
 
-The mixture is as long as it can be with every source at its share of those that have tokens:
-``total = min over sources of tokens * max_repeats / share``. With ``total`` given, sources
-that run out leave their slots empty, and the actual shares show it.
+A block has ``block`` tokens, whatever the size of the input. Each source has a quota of
+tokens; it takes as many blocks as that needs, the last one cut to the quota, and blocks that the
+sequence gives it no slot for (it may be a few short) come at the end. So the actual shares are
+the target shares to a token.
+
+How long the mixture is: by default as long as it can be with every source exactly at its share
+of those that have tokens, ``min over sources of tokens * max_repeats / share``; the scarcest source
+then sets the length. With ``total`` it has that many tokens (``total="corpus"``: as many as the
+sources have); where a source's repeats run out it gives all it has and the others share the rest
+by their weights, which is the nearest to the target shares at that length.
 
 Nothing is gathered: running sums over a source's documents, and ranks over its slots, are
 taken in two levels (within hashed buckets or ranges of slots, then over the buckets), so a
@@ -17,7 +24,7 @@ source with a third of all rows is no hot group. Sums per source are as many row
 Defined results: feeds without tokens have an actual share of 0 and their weight counts only
 in the target; documents without tokens, of null or unknown source are in no block; a feed
 listed twice counts once (its greatest weight); null weights and repeats count as 0 and 1; an
-empty side gives an empty mixture.
+empty side gives an empty mixture; a ``total`` beyond what the sources have gives all of it.
 """
 
 from __future__ import annotations
@@ -30,10 +37,8 @@ from pyspark.sql import functions as F
 from quire.llm import tokens
 from quire.session import checkpoint_dir
 
-#: Most tokens of a block; small mixtures take smaller ones, so that shares stay fine.
+#: Tokens of a block.
 BLOCK = 1024
-#: Least number of slots aimed at.
-SLOTS = 1 << 14
 #: Buckets of a source's documents, and slots of a range, for two-level running sums.
 BUCKETS = 1024
 RANGE = 1 << 16
@@ -49,8 +54,8 @@ def sized(documents: DataFrame, vocabulary: str = tokens.BYTE_BPE_50K, folder: s
     return counted.checkpoint()
 
 
-def plan(sizes: DataFrame, feeds: DataFrame, total: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row for each feed: target share, tokens, limits of its points, block size, number of slots."""
+def plan(sizes: DataFrame, feeds: DataFrame, total: int | str | None = None, block: int = BLOCK) -> DataFrame:
+    """One row for each feed: target share, tokens, quota of the mixture's tokens, limits of its points, blocks, number of slots."""
     own = feeds.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.max("target_weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).cast("bigint").alias("max_repeats"))
     has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     both = own.join(has, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("bigint")))
@@ -58,17 +63,27 @@ def plan(sizes: DataFrame, feeds: DataFrame, total: int | None = None, block: in
     live = (F.col("tokens") > 0) & (F.col("weight") > 0) & (F.col("max_repeats") > 0)
     w = F.when(live, F.col("weight")).otherwise(0.0)
     rows = both.withColumn("target_share", F.try_divide("weight", F.sum("weight").over(every))).withColumn("share", F.coalesce(F.try_divide(w, F.sum(w).over(every)), F.lit(0.0)))
-    most = F.min(F.when(live, F.col("tokens") * F.col("max_repeats") / F.col("share"))).over(every)
-    rows = rows.withColumn("total", F.lit(float(total)) if total is not None else most)
-    rows = rows.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("total") / SLOTS))).cast("bigint"))
-    rows = rows.withColumn("slots", F.coalesce(F.floor(F.col("total") / F.col("block")), F.lit(0)).cast("bigint"))
-    upto = F.sum("share").over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("hi", F.round(upto * MODULUS).cast("bigint"))
-    return rows.withColumn("lo", F.coalesce(F.lag("hi").over(every.orderBy("source")), F.lit(0).cast("bigint"))).withColumn("blocks", F.floor(F.col("tokens") * F.col("max_repeats") / F.col("block")).cast("bigint"))
+    rows = rows.withColumn("most", F.when(live, F.col("tokens") * F.col("max_repeats")).otherwise(0)).withColumn("reach", F.when(live, F.col("most") / F.col("share")))
+    if total is None:
+        rows = rows.withColumn("level", F.min("reach").over(every))
+    else:
+        # filled by shares up to a level; sources whose tokens end below it give all: the level that makes the total
+        want = F.sum(F.when(live, F.col("tokens"))).over(every) if total == "corpus" else F.lit(int(total))
+        filled = every.orderBy(F.asc_nulls_last("reach"), "source").rowsBetween(Window.unboundedPreceding, -1)
+        gone, left = F.coalesce(F.sum("most").over(filled), F.lit(0)), 1 - F.coalesce(F.sum("share").over(filled), F.lit(0.0))
+        rows = rows.withColumn("_level", F.when(live, (want - gone) / left))
+        # the first source in that order that needn't give all has it; if all must, there is none
+        rows = rows.withColumn("level", F.coalesce(F.min(F.when(F.col("_level") <= F.col("reach"), F.struct("reach", "source", "_level"))).over(every)["_level"], F.max("reach").over(every))).drop("_level")
+    rows = rows.withColumn("quota", F.when(live, F.least(F.col("most"), F.floor(F.greatest(F.col("level"), F.lit(0.0)) * F.col("share") + 1e-6))).otherwise(0).cast("bigint"))
+    rows = rows.withColumn("block", F.lit(block).cast("bigint")).withColumn("blocks", F.ceil(F.col("quota") / F.col("block")).cast("bigint"))
+    rows = rows.withColumn("slots", F.coalesce(F.sum("blocks").over(every), F.lit(0)).cast("bigint"))
+    upto = F.try_divide(F.sum("quota").over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)).cast("double"), F.sum("quota").over(every).cast("double"))
+    rows = rows.withColumn("hi", F.coalesce(F.round(upto * MODULUS), F.lit(0)).cast("bigint"))
+    return rows.withColumn("lo", F.coalesce(F.lag("hi").over(every.orderBy("source")), F.lit(0).cast("bigint")))
 
 
 def slots(plan_rows: DataFrame) -> DataFrame:
-    """slot, source, rank (from 0 within the source) of the schedule; slots beyond a source's blocks are left out."""
+    """slot, source, rank (from 0 within the source) of the schedule: each source has exactly the slots that its quota needs."""
     n = plan_rows.agg(F.max("slots").alias("n"))
     ranges = n.where("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RANGE).cast("bigint"))).alias("range"))
     # sources of points: the sorted limits ride along as one array of as many entries as feeds
@@ -79,9 +94,16 @@ def slots(plan_rows: DataFrame) -> DataFrame:
     taken = each.withColumn("point", point).withColumn("of", F.get(F.filter("limits", lambda x: x["hi"] > F.col("point")), F.lit(0)))
     taken = taken.select("range", "slot", F.col("of.source").alias("source"), F.col("of.blocks").alias("blocks")).where(F.col("source").isNotNull())
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = taken.groupBy("source", "range").agg(F.count("*").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    counts = taken.groupBy("source", "range").agg(F.count("*").alias("n"))
+    starts = counts.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     ranked = taken.join(starts, ["source", "range"]).withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("source", "range").orderBy("slot")) - 1)
-    return ranked.where(F.col("rank") < F.col("blocks")).select("slot", "source", "rank")
+    # what the sequence leaves a source short of (by its discrepancy, few) comes at the end, in turn
+    got = counts.groupBy("source").agg(F.sum("n").alias("got"))
+    short = plan_rows.select("source", "blocks", "slots").join(got, "source", "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col("got") < F.col("blocks"))
+    short = short.withColumn("_first", F.coalesce(F.sum(F.col("blocks") - F.col("got")).over(Window.partitionBy(F.lit(1)).orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rest = short.select("source", "slots", "_first", "got", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank"))
+    rest = rest.select((F.col("slots") + F.col("_first") + F.col("rank") - F.col("got")).alias("slot"), "source", "rank")
+    return ranked.where(F.col("rank") < F.col("blocks")).select("slot", "source", "rank").unionByName(rest)
 
 
 def positions(sizes: DataFrame, seed: int = 0) -> DataFrame:
@@ -95,19 +117,18 @@ def positions(sizes: DataFrame, seed: int = 0) -> DataFrame:
     return rows.join(starts, ["source", "_bucket"]).select("doc_id", "source", (F.col("_start") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("at"), "n_tokens")
 
 
-def mixture(documents: DataFrame, feeds: DataFrame, total: int | None = None, block: int = BLOCK, seed: int = 0, sizes: DataFrame | None = None) -> DataFrame:
+def mixture(documents: DataFrame, feeds: DataFrame, total: int | str | None = None, block: int = BLOCK, seed: int = 0, sizes: DataFrame | None = None) -> DataFrame:
     """slot, source, doc_id, use (from 1), from_token, to_token: the mixture's pieces; ordered by slot and place they are its text.
 
     A piece is tokens from_token (from 0) to to_token (excluded) of the document."""
     sizes = sized(documents) if sizes is None else sizes
     rows = plan(sizes, feeds, total, block)
     taken = slots(rows)
-    used = taken.groupBy("source").agg(F.max("rank").alias("last"))
-    limits = rows.join(used, "source").select("source", "tokens", "block", ((F.col("last") + 1) * F.col("block")).alias("used"))
+    limits = rows.where("quota > 0").select("source", "tokens", "block", "quota")
     docs = positions(sizes, seed).join(limits, "source")
-    uses = docs.withColumn("use", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("used") - 1) / F.col("tokens")).cast("bigint"))))
+    uses = docs.withColumn("use", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / F.col("tokens")).cast("bigint"))))
     first = F.col("at") + F.col("use") * F.col("tokens")
-    last = F.least(first + F.col("n_tokens"), F.col("used"))
+    last = F.least(first + F.col("n_tokens"), F.col("quota"))
     pieces = uses.withColumn("first", first).withColumn("last", last).where(F.col("first") < F.col("last"))
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("first") / F.col("block")), F.floor((F.col("last") - 1) / F.col("block")))))
     begin = F.greatest(F.col("first"), F.col("rank") * F.col("block")) - F.col("first")
@@ -115,13 +136,13 @@ def mixture(documents: DataFrame, feeds: DataFrame, total: int | None = None, bl
     return pieces.join(taken, ["source", "rank"]).select("slot", "source", "doc_id", (F.col("use") + 1).alias("use"), begin.alias("from_token"), end.alias("to_token"))
 
 
-def shares(documents: DataFrame, feeds: DataFrame, total: int | None = None, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
-    """source, target_share, actual_share, mixed_tokens, source_tokens, times_used, max_repeats of each feed."""
+def shares(documents: DataFrame, feeds: DataFrame, total: int | str | None = None, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
+    """source, target_share, actual_share, mixed_tokens, source_tokens, times_used, max_repeats of each feed: the tokens of the slots it has."""
     sizes = sized(documents) if sizes is None else sizes
     rows = plan(sizes, feeds, total, block)
-    used = slots(rows).groupBy("source").agg(F.count("*").alias("n"))
-    mixed = F.coalesce(F.col("n"), F.lit(0)) * F.coalesce(F.col("block"), F.lit(0))
-    out = rows.join(used, "source", "left").withColumn("mixed_tokens", mixed)
+    in_block = F.least(F.col("block"), F.col("quota") - F.col("rank") * F.col("block"))
+    used = slots(rows).join(rows.select("source", "block", "quota"), "source").groupBy("source").agg(F.sum(in_block).alias("n"))
+    out = rows.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce(F.col("n"), F.lit(0)))
     actual = F.coalesce(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0))
     return out.select("source", "target_share", actual.alias("actual_share"), "mixed_tokens", F.col("tokens").alias("source_tokens"), F.coalesce(F.try_divide("mixed_tokens", "tokens"), F.lit(0.0)).alias("times_used"), "max_repeats")
 

@@ -65,6 +65,11 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "feeds"))
 
 
+def p8_corpus_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mixture of as many tokens as the sources have."""
+    return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "feeds"), total="corpus")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, folder, "documents"))
 
@@ -73,4 +78,4 @@ def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_text, p4_found, p4_text, p5_found, p5_lines, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_text, p4_found, p4_text, p5_found, p5_lines, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p8_corpus_shares, p9_found, p9_sentences)}

@@ -1,12 +1,13 @@
 """Sentences of texts in many languages and scripts, in SQL expressions alone.
 
 Method: what looks like an end of a sentence and isn't (points in decimals, file names,
-initials and abbreviations, end marks within quotations and within list items) is masked by a
+initials and abbreviations, end marks within URLs, quotations and list items) is masked by a
 private-use character, one for one, so that no offset moves; line breaks that part sentences
 become another. The masked text is split by terminator patterns of its scripts, and the
 sentences are cut from the text itself by the offsets, which restores all that was masked.
 No Python and no shuffle; every pattern is free of unbounded repetition of groups, so that
-long texts can't overflow the stack.
+long texts can't overflow the stack. Offsets are running sums in two levels (runs of about
+as many pieces as there are runs), so that a very long text isn't a copy for each sentence.
 
 Defined results: null, empty and blank texts have no sentences; a blank line always ends one,
 a single line break only beside a list item; a list item is one sentence with its mark; quoted
@@ -20,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces that are folded at once; more go in runs, with the same result.
+FOLD = 256
+
 MASK, PART, OPEN, CLOSE, CUT, ITEM, OWN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue00f"
 
 # Abbreviations that never end a sentence, and those that don't before a figure.
@@ -27,7 +31,9 @@ NEVER = (
     "Dept Vol vol vs cf Cf e\\.g i\\.e approx ca Ca env bzw vgl Vgl Dr Mr Mrs Ms Prof Hr Fr Frau St Sr Sra Srta Mme Mlle Gen Gov Rev Capt Lt Col Sgt Messrs Jr\\.? viz Univ Inst Ref ref Kap Bd sog "
     "aprox Véase См см им ул Βλ βλ π\\.χ περ κ z\\.\\s?B d\\.\\s?h u\\.\\s?a o\\.\\s?ä p\\.\\s?ex p\\.\\s?ej т\\.\\s?е т\\.\\s?к resp incl excl"
 ).split()
-BEFORE_FIGURE = "Fig fig Figs Art art Arts arts No no Nos nos Nr nr Abs para paras Para chap Chap ch Ch cap Cap núm Núm n p pp P PP S Sec sec Sect Tab tab Eq eq рис Рис табл Табл стр ст гл п пп άρθ Άρθ σελ παρ Pos pos Ziff ziff lit Vol vol".split()
+# Names of companies' forms: no end before another of them or a comma.
+COMPANY = "Corp Inc Ltd Co Cie Bros LLC Pty Plc".split()
+BEFORE_FIGURE = "Jan Feb Febr Mar Apr Jun Jul Aug Sept Sep Okt Oct Nov Dez Dec Fig fig Figs Art art Arts arts No no Nos nos Nr nr Abs para paras Para chap Chap ch Ch cap Cap núm Núm n p pp P PP S Sec sec Sect Tab tab Eq eq рис Рис табл Табл стр ст гл п пп άρθ Άρθ σελ παρ Pos pos Ziff ziff lit Vol vol".split()
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 GERMAN_BEFORE_ORDINAL = "dem am Am den der vom Vom zum Zum des bis im Im".split()
 
@@ -47,10 +53,16 @@ _DOTS = (
     f"|(?<=(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(BEFORE_FIGURE)})\\.)(?=\\s*\\p{{Nd}})"
     f"|(?<=(?<![\\p{{L}}])(?:{'|'.join(GERMAN_BEFORE_ORDINAL)})\\s\\p{{Nd}}{{1,2}}\\.)(?=\\s+\\p{{Lu}})"
     f"|(?<=(?<!\\p{{N}})\\p{{Nd}}{{1,2}}\\.)(?=\\s+(?:{'|'.join(MONTHS)}))"
-    f"|(?<=(?:\\A|[\\n{PART}{ITEM}])[ \\t]{{0,8}}\\p{{Nd}}{{1,2}}\\.)(?=[ \\t]+\\S)"  # numbered headings
+    f"|(?<=(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(COMPANY)})\\.)(?=\\s*(?:,|(?:{'|'.join(COMPANY)})\\b))"
     r")"
 )
 
+#: The point behind the number of a heading, however far it is indented.
+_NUMBERED = f"((?:\\A|[\\n{PART}{ITEM}])[ \\t]*+\\p{{Nd}}{{1,2}})\\.(?=[ \\t]+\\S)"
+_IS_NUMBERED = f"(?:\\A|[\\n{PART}{ITEM}])[ \\t]*+\\p{{Nd}}{{1,2}}\\.[ \\t]"
+#: End marks within a URL: of ASCII signs, up to the last one that is a letter, figure or sign of a path.
+_URL = "((?:(?<![\\p{L}\\p{N}])(?:[A-Za-z][A-Za-z0-9+-]*+://|www\\.)|(?!\\A)\\G)[A-Za-z0-9/=&%_#~@:+,()*$-]*+)[.!?;](?=[.!?;]*+[A-Za-z0-9/=&%_#~@+$-])"
+
 _STARTS = f"[\\p{{Lu}}\\p{{Lt}}\\p{{N}}\\p{{Sc}}\u00a7#{OPEN}(\\[\u00bf\u00a1\u00ab\u201c\u201e\"]|\\p{{Ll}}\\p{{Lu}}"
 _ENDS = (
     "((?=[FIRST])(?:"
@@ -124,7 +136,9 @@ def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFra
     c = F.col(out)
     df = df.withColumn(out, masked(F.col(column)))
     df = df.withColumn(out, F.when(c.rlike(f"(?:\\A|[\\n{PART}]){_ITEM}"), _items(c)).otherwise(c))
+    df = df.withColumn(out, F.when(_holds_any(c, ["://", "www."]), F.regexp_replace(c, _URL, f"$1{MASK}")).otherwise(c))
     df = _quotes(df, out)
+    df = df.withColumn(out, F.when(c.rlike(_IS_NUMBERED), F.regexp_replace(c, _NUMBERED, f"$1{MASK}")).otherwise(c))
     df = df.withColumn(out, F.regexp_replace(c, _DOTS, MASK))
     df = df.withColumn(out, F.when(F.col(column).rlike(_LATER), F.regexp_replace(c, _ALL_ENDS, f"$1{CUT}")).otherwise(F.regexp_replace(c, _FEW_ENDS, f"$1{CUT}")))
     # a cut is no character of the text: it goes with the split, the parting line break stays and counts
@@ -132,13 +146,23 @@ def with_ends(df: DataFrame, column: str = "text", out: str = "ends") -> DataFra
     sizes = F.transform(c, lambda p: F.struct(F.length(p).alias("n"), F.length(F.rtrim(p, F.lit(_BLANKS))).alias("k"), F.length(F.ltrim(p, F.lit(_BLANKS))).alias("m")))
     df = df.withColumn(out, sizes)
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    folded = F.aggregate(
-        c,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("a")),
-        lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.when(p["k"] > 0, F.concat(s["a"], F.array(F.struct((s["at"] + p["n"] - p["m"]).alias("start"), (s["at"] + p["k"]).alias("end"))))).otherwise(s["a"]).alias("a")),
-        lambda s: s["a"],
-    )
-    return df.withColumn(out, F.coalesce(folded, empty))
+
+    def folded(pieces: Column, start: Column) -> Column:
+        return F.aggregate(
+            pieces,
+            F.struct(start.alias("at"), empty.alias("a")),
+            lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.when(p["k"] > 0, F.concat(s["a"], F.array(F.struct((s["at"] + p["n"] - p["m"]).alias("start"), (s["at"] + p["k"]).alias("end"))))).otherwise(s["a"]).alias("a")),
+            lambda s: s["a"],
+        )
+
+    # each step copies what was gathered, so many pieces are folded in runs: first where each run starts, then within it
+    run = F.ceil(F.sqrt(F.size(c))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / run).cast("int")), lambda i: F.slice(c, i * run + 1, run))
+    sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda a, p: a + p["n"]))
+    starts = F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    many = F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(starts) - 1), lambda r, at: folded(r, at)))
+    df = df.withColumn(out, F.when(F.size(c) <= FOLD, folded(c, F.lit(0).cast("bigint"))).otherwise(many))
+    return df.withColumn(out, F.coalesce(F.col(out), empty))
 
 
 def sentence_ends(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:

@@ -106,7 +106,7 @@ def test_site_lines(spark):
     docs = spark.createDataFrame(list({(d, s) for _, d, s, _ in rows if d is not None}), "doc_id bigint, source string").selectExpr("*", "timestamp'2024-01-01' converted_at")
     got = {tuple(r) for r in boilerplate.found_lines(df, docs).collect()}
     assert got == site(rows)
-    out = {r.section_key: r for r in boilerplate.without_lines(df, docs).collect()}
+    out = {r.section_key: r for r in boilerplate.without_lines(df, docs, by="documents").collect()}
     for k, _, _, t in rows:
         gone = {i for s, i in got if s == k}
         assert out[k].own_text == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n"), 1) if i not in gone)) and out[k].n_site_lines == len(gone)
@@ -114,12 +114,31 @@ def test_site_lines(spark):
 
 
 def test_copies_count_as_one_cluster(spark):
-    body = "an article that was printed again"
-    df = spark.createDataFrame([(k, k, 1, body, None) for k in range(6)] + [(9, 9, 1, "something else altogether", None)], "section_key bigint, doc_id bigint, source_page int, raw_text string, loaded_at timestamp")
-    docs = spark.createDataFrame([(k, "s") for k in (*range(6), 9)], "doc_id bigint, source string").selectExpr("*", "timestamp'2024-01-01' converted_at")
-    line = boilerplate.site_lines(df, docs).collect()
-    assert [(r.n_docs, r.n_clusters, r.n_dates) for r in line] == [(6, 1, 1)]
-    assert boilerplate.site_lines(df, docs, least_clusters=2).count() == 0
+    """An article printed again, with other figures and page cuts, is no boilerplate; a notice on many clusters and dates is."""
+    body = ["an article that was printed again", "its second line goes on {} times"]
+    rows = [(k, k, 1, "\n".join(body).format(k) + "\nthe notice of the publisher", None) for k in range(5)]
+    rows += [(20, 5, 1, body[0], None), (21, 5, 2, body[1].format(77) + "\nThe notice of the publisher", None)]
+    rows += [(30 + k, 10 + k, 1, f"something else altogether {'abcd'[k] * 8}\nthe notice of  the publisher", None) for k in range(4)]
+    df = spark.createDataFrame(rows, "section_key bigint, doc_id bigint, source_page int, raw_text string, loaded_at timestamp")
+    docs = spark.createDataFrame([(d, "s") for d in sorted({r[1] for r in rows})], "doc_id bigint, source string").selectExpr("*", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id as int)) converted_at")
+    counted = lambda **k: sorted((r.n_docs, r.n_clusters, r.n_dates) for r in boilerplate.site_lines(df, docs, **k).collect())
+    assert counted() == [(10, 5, 5)]
+    assert counted(by="documents") == [(6, 1, 1), (6, 1, 1), (10, 5, 5)]
+    text = {r.section_key: r.own_text for r in boilerplate.without_lines(df, docs).collect()}
+    assert text[0] == "an article that was printed again\nits second line goes on 0 times" and text[30] == "something else altogether aaaaaaaa"
+    same_day = docs.selectExpr("doc_id", "source", "cast(null as timestamp) converted_at")
+    assert boilerplate.site_lines(df, same_day).count() == 0 and boilerplate.site_lines(df, same_day, least_dates=1).count() == 1
+
+
+def test_a_line_of_many_sources_costs_its_occurrences(spark):
+    n = 1000
+    df = spark.range(2 * n).selectExpr("id section_key", "id doc_id", "1 source_page", "'one notice of everyone' raw_text", "cast(null as timestamp) loaded_at")
+    docs = spark.range(2 * n).selectExpr("id doc_id", "concat('s', id div 2) source", "timestamp'2024-01-01' converted_at")
+    found = boilerplate.found_lines(df, docs)
+    assert found.count() == 2 * n
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x and "h1" in x]
+    assert joins and all("source" in x for x in joins)
 
 
 # --- scanned text
