@@ -1,11 +1,15 @@
 """Nested section records to flat tables with parent and child links.
 
-A payload is one section record as JSON text, bare or wrapped (``{"section": ..}``,
-``{"sections": [..]}``, ``{"result": {"sections": [..]}}``, ``{"payload": ".."}``). It is
-parsed once into a VARIANT. One projection then holds, for every target table, an array of
-its rows: nested ``transform`` calls attach the keys and positions of all ancestors,
-``flatten`` joins what inner levels give, and one ``inline`` per target table emits rows.
-No shuffle, no Python.
+A payload is section records as JSON text, bare or in wrappers (``{"section": ..}``,
+``{"sections": [..]}``, ``{"result": {"sections": [..]}}``, ``{"payload": ".."}``, text within text),
+however many are in each other. It is parsed once into a VARIANT; a fold takes one wrapper off
+at a time, as often as the payload itself can hold one. One projection then holds, for every
+target table, an array of its rows: nested ``transform`` calls attach the keys and positions of
+all ancestors, ``flatten`` joins what inner levels give, and one ``inline`` per target table
+emits rows. No shuffle, no Python.
+
+What has one of the four fields of a section itself is a record and isn't unwrapped, whatever
+else it holds. Of several records in a payload each gives its rows; ``section_pos`` counts them.
 
 Defined results: a null, blank, cut or otherwise unreadable payload, one with text after its
 value and one with a key twice in an object give no rows. A null element keeps its position
@@ -19,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys under which a delivery may wrap the record, outermost first at each step.
+#: Keys under which a delivery may wrap records.
 WRAPPERS = ("payload", "result", "record", "data", "section", "sections")
-#: How many wrappers may be nested in each other.
-DEPTH = 5
+#: The fields of a section that have children.
+FIELDS = ("ocr_flags", "image_ocr", "native_tables", "source_lines")
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -54,23 +58,58 @@ def parse_record(payload: Column) -> Column:
     return F.when(F.size(_get(boxed, "$", "array<variant>")) == 1, _get(boxed, "$[0]", "variant"))
 
 
+def _is_record(v: Column) -> Column:
+    out = F.lit(False)
+    for k in FIELDS:
+        out = out | _get(v, f"$.{k}", "variant").isNotNull()
+    return out
+
+
+def _is_object(v: Column) -> Column:
+    return _get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _is_array(v: Column) -> Column:
+    return _get(v, "$", "array<variant>").isNotNull()
+
+
+def _meant(v: Column) -> Column:
+    """What text that encodes an object or array stands for; all else as it is."""
+    text = F.try_parse_json(_get(v, "$", "string"))
+    return F.when(_is_object(text) | _is_array(text), text).otherwise(v)
+
+
+def _inner(v: Column) -> Column:
+    """One step inwards: an array's elements, or the value, none of them text that encodes a value."""
+    meant = _meant(v)
+    return F.transform(F.coalesce(_get(meant, "$", "array<variant>"), F.array(meant)), _meant)
+
+
 def _unwrap(v: Column) -> Column:
-    """One wrapper less; the record itself stays as it is."""
-    text = F.try_parse_json(_get(v, "$.payload", "string"))
-    steps = [text]
-    for k in WRAPPERS:
-        inner = _get(v, f"$.{k}", "variant")
-        steps += [_get(inner, "$[0]", "variant"), F.when(_get(inner, "$", "map<string,variant>").isNotNull(), inner)]
-    steps.append(_get(v, "$[0]", "variant"))
-    return F.coalesce(*steps, v)
+    """One wrapper less: an array of what it holds; a record stays as it is."""
+    held = F.flatten(F.array(*(F.coalesce(_inner(_get(v, f"$.{k}", "variant")), F.array()) for k in WRAPPERS)))
+    held = F.filter(held, lambda x: _is_object(x) | _is_array(x))
+    return F.when(_is_record(v) | (_is_object(v) & (F.size(held) == 0)), F.array(v)).when(_is_object(v), held).otherwise(_inner(v))
+
+
+def _steps(payload: Column) -> Column:
+    """As many steps as a payload can need: one for each name of a wrapper and each array or text right at a value's start."""
+    names = F.regexp_count(payload, F.lit(rf'"(?:{"|".join(WRAPPERS)})\\*"\s*:'))
+    return names + F.regexp_count(payload, F.lit(r'(?:\A|[:\[]|\\")\s*(?:\\*"\s*)?[\[{]')) + 1
 
 
-def with_record(df: DataFrame, payload: str = "payload", out: str = "_record") -> DataFrame:
-    """Adds the unwrapped section record as a variant, null where unreadable."""
-    df = df.withColumn(out, parse_record(F.col(payload)))
-    for _ in range(DEPTH):
-        df = df.withColumn(out, F.when(F.col(out).isNotNull(), _unwrap(F.col(out))))
-    return df
+def with_records(df: DataFrame, payload: str = "payload", out: str = "_record", pos: str = "_section") -> DataFrame:
+    """One row for each section record of a payload: the record as a variant and its number; payloads without one give none."""
+    own = parse_record(F.col(payload))
+    df = df.withColumn(out, own)
+    c = F.col(out)
+    alone = F.when(c.isNotNull(), F.array(c))
+    steps = F.sequence(F.lit(1), _steps(F.col(payload)))
+    every = F.aggregate(steps, alone, lambda a, _: F.when(F.exists(a, lambda v: ~_is_record(v)), F.flatten(F.transform(a, _unwrap))).otherwise(a))
+    df = df.withColumn(out, F.when(_is_record(c), alone).otherwise(F.when(c.isNotNull(), every)))
+    kept = [x for x in df.columns if x != out]
+    df = df.withColumn(out, F.filter(out, lambda v: _is_record(v)))
+    return df.select(*kept, F.posexplode_outer(out).alias(pos, out)).where(F.col(out).isNotNull()).withColumn(pos, (F.col(pos) + 1).cast("int"))
 
 
 def _pos(i: Column) -> Column:
@@ -170,14 +209,14 @@ TARGETS = {
 
 
 def flat_table(df: DataFrame, target: str, keys: tuple[str, ...] = ("record_id",), payload: str = "payload") -> DataFrame:
-    """The rows of one target table: ``keys`` of the record, then path, ancestors' positions and values."""
-    base = with_record(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
-    return base.select(*keys, F.inline_outer(TARGETS[target](F.col("_record")))).where(F.col("path").isNotNull())
+    """The rows of one target table: ``keys`` of the record, section_pos, then path, ancestors' positions and values."""
+    base = with_records(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
+    return base.select(*keys, F.col("_section").alias("section_pos"), F.inline_outer(TARGETS[target](F.col("_record")))).where(F.col("path").isNotNull())
 
 
 def child_paths(df: DataFrame, keys: tuple[str, ...] = ("record_id",), payload: str = "payload") -> DataFrame:
     """One row for each child of each record, of all target tables, in one pass over the payloads."""
-    base = with_record(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
+    base = with_records(df.select(*keys, F.col(payload).alias("_payload")), "_payload")
     arrays = base.select(*keys, *(F.coalesce(make(F.col("_record")), F.array()).alias(f"_{k}") for k, make in TARGETS.items()))
     paths = F.concat(*(F.transform(f"_{k}", lambda s: F.struct(s["path"].alias("child_path"))) for k in TARGETS))
     # outer: an inner one makes the optimizer filter on the array's size and so build it twice
