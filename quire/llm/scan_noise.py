@@ -1,14 +1,18 @@
 """Text of scanned pages to continuous paragraphs of right words.
 
 Method: words of all pages are counted into a corpus frequency lexicon, with their pairs. A
-symmetric-delete index over the lexicon gives correction candidates: a rare word without some
-of the characters that recognition confuses, and a frequent word without what they stand for,
-meet in one key (a delete on either side, so no word is compared with all others). Candidates
-are ranked by weighted edit distance over the confusion pairs and by frequency; where a word
-has several, the pairs with its neighbours (bigram context) pick the repair. Words without a
-candidate that part into frequent words, pair by pair known, have lost their blanks.
-
-Around that: running titles are lines at the head or foot of three or more pages of a
+symmetric-delete index over the lexicon gives correction candidates: a rare word and a frequent
+one, each without one or two letters (a stretch that recognition takes for another, such as
+``rn``, counts as one), meet in one key, so no word is compared with all others. Keys are made
+in an alphabet where figures and the letters they are taken for are one. Candidates are ranked
+by weighted edit distance: confusion pairs have their weights, any other edit of a letter and a
+swap of two cost 1. Where a word has several candidates, the pairs with its neighbours (bigram
+context) pick the repair; where edits other than confusion pairs are needed, these must speak
+for the repair on both sides, and the edit must lie within the word, as endings differ between
+right words. Words without a candidate that part into words of the lexicon, pair by pair known,
+have lost their blanks.
+
+Around that: running titles are lines at the head or at the foot of three or more pages of a
 document, compared by a skeleton in which confusable letters fall together; page numbers are
 lines at head or foot of a page number's form alone; a word cut at a line's end is joined with
 the next body line's first word, over the page's end if need be, if the lexicon has it in one
@@ -17,7 +21,8 @@ word rather than with its hyphen.
 Scale: one pass over the texts gives partial counts, cut words and page edges; one more emits
 the occurrences of words that aren't common. Only the common words (a bounded number, a
 documented parameter) are sent to the tasks, as a filter of what can't be misread; everything
-else is joined by key, so the rest of the lexicon may be of any size.
+else is joined by key, so the rest of the lexicon may be of any size. No limit on a line's, a
+word's or a candidate list's length.
 
 Defined results: null texts give no rows; repeated sections count once; texts of scripts that
 part words otherwise have no misread words; code, tables and formulas are left alone.
@@ -25,6 +30,7 @@ part words otherwise have no misread words; code, tables and formulas are left a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -46,14 +52,16 @@ PAIRS = {("c", "e"): 0.5, ("5", "s"): 0.3, ("l", "i"): 0.4, ("f", "t"): 0.5, ("0
 COMMON = 1 << 16
 #: A candidate is so many times as frequent as the word it would stand for, and so frequent at least.
 RATIO, LEAST = 8, 4
-#: Longest run of letters that is counted as a word.
-RUN = 80
+#: Letters from which on a word may differ by other edits than confusion pairs, how many times more frequent the other then is, and the letters at its start and end where these don't count (inflection).
+GENERAL, GENERAL_RATIO, INNER = 6, 16, (1, 2)
+#: How many times better a neighbour must know the repair than the word as it is read.
+CONTEXT = 4
+#: Largest distance of a candidate, by the least number of letters.
+LIMITS = ((12, 2.0), (6, 1.2), (0, 0.8))
 #: Letters that are a word.
 ALONE = "aàyoeиікв"
-#: Pages that make a line a running title, and the share of a document's pages.
-TITLE_PAGES, TITLE_SHARE = 3, 0.25
-#: Longest line that may be one.
-TITLE_LENGTH = 160
+#: Pages that make a line a running title.
+TITLE_PAGES = 3
 EDGE = 2
 
 #: A word has a letter; figures alone are none.
@@ -73,6 +81,8 @@ _NUMBER = re.compile(NUMBER)
 _AROUND = r"^\W*(?:\d{1,4}|[ivxlc]{1,7})(?=\s{2,}|\s*[|])\W*|\W*(?:\s{2,}|[|]\s*)(?:\d{1,4}|[ivxlc]{1,7})\W*$"
 
 
+#: A line that goes on with a sentence and ends it, as no title does.
+_TAIL = re.compile(r"\s*[^\W\d_A-ZÀ-ÖØ-ÞΑ-ΩА-Я].*[.!?]\s*$")
 _ONE_LOOK = str.maketrans("c5lf01bg9862h", "esitoiqqqqqzq")
 
 
@@ -102,12 +112,14 @@ _EDGES_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("key", pa.string())
 
 @F.arrow_udf(EDGES)
 def _edges(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Keys of the outer lines, which come as one text with line numbers."""
+    """Keys of the outer lines, empty for lines of under four letters and for the ends of sentences begun before."""
     for batch in batches:
-        out = []
-        for rows in batch.to_pylist():
-            out.append(None if rows is None else [{"line_no": r["line_no"], "key": skeleton(r["line"]) if len(r["line"]) <= TITLE_LENGTH else "", "number": len(r["line"]) <= 40 and bool(_NUMBER.match(charforms.canonical_line(r["line"])))} for r in rows])
-        yield pa.array(out, _EDGES_ARROW)
+        yield pa.array([None if rows is None else [{"line_no": r["line_no"], "key": _line_key(r["line"]), "number": bool(_NUMBER.match(charforms.canonical_line(r["line"])))} for r in rows] for rows in batch.to_pylist()], _EDGES_ARROW)
+
+
+def _line_key(line: str) -> str:
+    t = "" if _TAIL.match(line) else skeleton(line)
+    return hashlib.blake2b(t.encode(), digest_size=16).hexdigest() if len(t) >= 4 else ""
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -120,12 +132,12 @@ def edges(rows: DataFrame) -> DataFrame:
     return each.select("section_key", "doc_id", "source_page", "field", "x.line_no", "x.key", "x.number", F.col("i").alias("top"), (F.col("m") - 1 - F.col("i")).alias("foot"))
 
 
-def titles(edge_rows: DataFrame, least_pages: int = TITLE_PAGES, least_share: float = TITLE_SHARE) -> DataFrame:
-    """doc_id and key of each running title."""
-    near = edge_rows.where((F.length("key") >= 4) & ~F.col("number") & (F.least("top", "foot") <= 1))
-    counted = near.groupBy("doc_id", "key", "source_page").agg(F.lit(1).alias("one")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    total = edge_rows.groupBy("doc_id", "source_page").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("m"))
-    return counted.where(F.col("n") >= least_pages).join(total, "doc_id").where(F.col("n") >= F.col("m") * F.lit(least_share)).select("doc_id", "key")
+def titles(edge_rows: DataFrame, least_pages: int = TITLE_PAGES) -> DataFrame:
+    """doc_id and key of each running title: at one side of so many pages, among the two outermost lines."""
+    side = F.explode(F.array_compact(F.array(F.when(F.col("top") <= 1, "head"), F.when(F.col("foot") <= 1, "foot"))))
+    near = edge_rows.where((F.col("key") != "") & ~F.col("number")).select("doc_id", "key", "source_page", side.alias("side"))
+    counted = near.groupBy("doc_id", "key", "side", "source_page").agg(F.lit(1).alias("one")).groupBy("doc_id", "key", "side").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least_pages).select("doc_id", "key").distinct()
 
 
 def furniture(edge_rows: DataFrame) -> DataFrame:
@@ -223,7 +235,7 @@ def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 plain = words[1:] if cut_before else words
                 if m and plain:
                     plain = plain[:-1]
-                one.update(plain if len(x) <= RUN else [w for w in plain if len(w) <= RUN])
+                one.update(plain)
                 if "-" in x or "\u2010" in x or "\u2011" in x:
                     one.update(c.lower() for c in _COMPOUND.findall(x if not m else x[: m.start()]))
                 two.update(zip(plain, plain[1:], strict=False))
@@ -246,51 +258,142 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(len(schema))], schema=schema)
 
 
+#: Figures and the letters they are taken for, as one.
+_ONE_KEY = str.maketrans("01i56892", "ollsbbgz")
+_SIDES = [sorted({p[side].translate(_ONE_KEY) for p in PAIRS if len(p[side]) > 1}) for side in (0, 1)]
+_SPOTS = [{p[side].translate(_ONE_KEY) for p in PAIRS} for side in (0, 1)]
+
+
 def _deletes(word: str, side: int) -> set[str]:
-    """Keys of a word with one or two confusable spots taken out; side 0 as read, 1 as meant."""
-    spots = [(i, p[side], p) for p in PAIRS for i in range(len(word) - len(p[side]) + 1) if word.startswith(p[side], i)]
-    keys = {f"{i}|{p[0]}>{p[1]}|{word[:i]}{word[i + len(s) :]}" for i, s, p in spots}
-    for i, s, p in spots:
-        for j, t, q in spots:
-            if j >= i + len(s):
-                keys.add(f"{i}|{p[0]}>{p[1]}|{j - i - len(s)}|{q[0]}>{q[1]}|{word[:i]}{word[i + len(s) : j]}{word[j + len(t) :]}")
+    """Keys of a word: itself, without any one or two letters or confusable stretches; side 0 as read, 1 as meant.
+
+    Of short words two at once are only taken out where recognition confuses them, as two other edits are beyond their limit."""
+    w = word.translate(_ONE_KEY)
+    ops = [(i, 1) for i in range(len(w))] + [(i, len(p)) for p in _SIDES[side] for i in range(len(w) - len(p) + 1) if w.startswith(p, i)]
+    keys = {w} | {w[:i] + w[i + n :] for i, n in ops}
+    if len(w) < GENERAL:
+        ops = [(i, n) for i, n in ops if w[i : i + n] in _SPOTS[side]]
+    for i, n in ops:
+        head = w[:i]
+        for j, m in ops:
+            if j >= i + n:
+                keys.add(head + w[i + n : j] + w[j + m :])
     return keys
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _read_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for b in batches:
-        yield pa.array([sorted(_deletes(w, 0)) for w in b.to_pylist()], pa.list_(pa.string()))
+#: Words beyond so many letters meet by segments: of five of a word two edits leave one as it is, so this finds all that deletes would, in keys whose number doesn't grow with the word.
+LONG, SEGMENTS, SHIFT = 32, 5, 4
+
+
+def _keys(word: str, side: int) -> set[str]:
+    """All keys of a word: deletes, segments if it is long, both if it may meet words of either kind."""
+    n = len(word)
+    if side == 0:
+        return _deletes(word, 0) if n <= LONG else _segments(word, 0)
+    return (_deletes(word, 1) if n <= LONG + SHIFT else set()) | (_segments(word, 1) if n > LONG - SHIFT else set())
+
+
+def _segments(word: str, side: int) -> set[str]:
+    """Segments of a long word with its length; of one as read, whatever may be a segment of a word that differs by two edits."""
+    w = word.translate(_ONE_KEY)
+    keys = set()
+    for m in range(len(w) - SHIFT, len(w) + SHIFT + 1) if side == 0 else (len(w),):
+        for k in range(SEGMENTS):
+            a, b = k * m // SEGMENTS, (k + 1) * m // SEGMENTS
+            for s in range(-SHIFT, SHIFT + 1) if side == 0 else (0,):
+                if 0 <= a + s and b + s <= len(w):
+                    keys.add(f"{m} {k} {w[a + s : b + s]}")
+    return keys
+
+
+def _keyed(side: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """word, n, key of each word: as many rows as it has keys, some words at a time."""
+        for b in batches:
+            words, counts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k in range(0, len(words), 100):
+                rows = [(w, n, int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big", signed=True)) for w, n in zip(words[k : k + 100], counts[k : k + 100], strict=True) for key in _keys(w, side)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["word", "n", "key"])
+
+    return keys
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _meant_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for b in batches:
-        yield pa.array([sorted(_deletes(w, 1)) for w in b.to_pylist()], pa.list_(pa.string()))
+#: Letters by which two words may be shifted against each other within any limit.
+BAND = 12
+_BY_FIRST: dict[str, list[tuple[str, str, float]]] = {}
+for (_a, _b), _w in PAIRS.items():
+    _BY_FIRST.setdefault(_a[0], []).append((_a, _b, _w))
 
 
-def distance(read: str, meant: str) -> float:
-    """Weighted edit distance: confusion pairs by their weight, any other edit 1."""
+def distance(read: str, meant: str, other: float = 1.0) -> float:
+    """Weighted edit distance: confusion pairs by their weight, any other edit of a letter and a swap of two neighbours ``other``."""
+    n, m = len(read), len(meant)
+    k = 0
+    while k < min(n, m) and read[k] == meant[k]:
+        k += 1
+    k = max(0, k - 2)  # equal ends are left out, but for what a pair may reach
+    e = 0
+    while e < min(n, m) - k and read[n - 1 - e] == meant[m - 1 - e]:
+        e += 1
+    e = max(0, e - 2)
+    read, meant = read[k : n - e], meant[k : m - e]
     n, m = len(read), len(meant)
     best = [[math.inf] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
-            d = best[i][j]
+        row, pairs = best[i], _BY_FIRST.get(read[i : i + 1], ()) if i < n else ()
+        for j in range(max(0, i - BAND), min(m, i + BAND) + 1):
+            d = row[j]
             if d == math.inf:
                 continue
-            steps = [(i + 1, j, 1.0), (i, j + 1, 1.0), (i + 1, j + 1, 0.0 if i < n and j < m and read[i] == meant[j] else 1.0)]
-            steps += [(i + len(a), j + len(b), w) for (a, b), w in PAIRS.items() if read.startswith(a, i) and meant.startswith(b, j)]
-            for x, y, w in steps:
-                if x <= n and y <= m and d + w < best[x][y]:
-                    best[x][y] = d + w
+            if i < n and d + other < best[i + 1][j]:
+                best[i + 1][j] = d + other
+            if j < m and d + other < row[j + 1]:
+                row[j + 1] = d + other
+            if i < n and j < m:
+                step = d if read[i] == meant[j] else d + other
+                if step < best[i + 1][j + 1]:
+                    best[i + 1][j + 1] = step
+                if i + 1 < n and j + 1 < m and read[i] == meant[j + 1] and read[i + 1] == meant[j] and d + other < best[i + 2][j + 2]:
+                    best[i + 2][j + 2] = d + other
+            for a, b, w in pairs:
+                if d + w < math.inf and read.startswith(a, i) and meant.startswith(b, j) and d + w < best[i + len(a)][j + len(b)]:
+                    best[i + len(a)][j + len(b)] = d + w
     return best[n][m]
 
 
-@F.arrow_udf(T.DoubleType())
-def _distance(read: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in read:
-        yield pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+def limit(word: str) -> float:
+    return next(d for n, d in LIMITS if len(word) >= n)
+
+
+def repairable(read: str, meant: str) -> tuple[float, bool] | None:
+    """The distance if it is within the word's limit, and whether edits other than confusion pairs are needed; None if it isn't."""
+    most = limit(read)
+    d = distance(read, meant, math.inf)
+    if d <= min(most, 1.2):
+        return d, False
+    if len(read) < GENERAL or len(meant) < GENERAL or not meant.isalpha():
+        return None
+    first, last = INNER
+    if read[:first] != meant[:first] or read[-last:] != meant[-last:]:
+        return None
+    # an accent more or less is another word rather than a misread one
+    if charforms_plain(read) == charforms_plain(meant):
+        return None
+    d = distance(read, meant)
+    return (d, True) if d <= most else None
+
+
+def charforms_plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (word, n, meant, n_meant) those within the limit, with distance and whether other edits are needed."""
+    for batch in batches:
+        rows = [(*r.values(), *f) for r in batch.to_pylist() if (f := repairable(r["word"], r["meant"]))]
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["word", "n", "meant", "n_meant", "d", "other"])
 
 
 class Lexicon:
@@ -306,8 +409,13 @@ class Lexicon:
         self.passed = self.prose.select("section_key", "doc_id", "source_page", "field", "region", "text", "drop").mapInArrow(_count_pass, PASS).checkpoint()
         self.words = self.passed.where("kind = 'u'").groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n")).checkpoint()
         self.cuts = self._cuts()
-        self.candidates = self._candidates().checkpoint()
-        top = self.words.join(self.candidates.select("word").distinct(), "word", "left_anti").where("n >= 2").orderBy(F.desc("n"), "word").limit(common)
+        near = self._candidates().checkpoint()
+        order = Window.partitionBy("word").orderBy(F.col("d") - 0.05 * F.log("n_meant"), "meant")
+        self.candidates = near.where("not other").withColumn("rank", F.row_number().over(order)).checkpoint()
+        # by other edits only where no confusion pairs explain a word
+        self.general = near.where(F.col("other") & (F.col("n_meant") >= F.col("n") * GENERAL_RATIO)).join(self.candidates.select("word").distinct(), "word", "left_anti").checkpoint()
+        unsure = self.candidates.select("word").unionByName(self.general.select("word")).distinct()
+        top = self.words.join(unsure, "word", "left_anti").where("n >= 2").orderBy(F.desc("n"), "word").limit(common)
         #: The most frequent words that can't be misread: bounded by the parameter.
         self.common = {r["word"]: r["n"] for r in top.collect()}
         # of the common words those that are several go (at most as many as there are common words); then longer ones part at them too
@@ -331,27 +439,30 @@ class Lexicon:
         return both.join(n("word", "n_joined"), "word", "left").join(n("with_hyphen", "n_hyphen"), "with_hyphen", "left").fillna(0, ["n_joined", "n_hyphen"]).checkpoint()
 
     def _candidates(self) -> DataFrame:
-        """word, n, meant, n_meant, d, rank: all repairs of rare words, best first."""
+        """word, n, meant, n_meant, d, other: all repairs of rare words, and whether other edits than confusion pairs are needed."""
         rare = self.words.where(~F.col("word").contains("-")).unionByName(self.cuts.where("n_joined = 0 and n_hyphen = 0").select("word", F.lit(1).cast("bigint").alias("n")).distinct())
         spaced = rare.where(F.col("word").rlike(_SPACED.pattern) & (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike("^[ivxlcdm]+$"))
         rare = spaced.groupBy("word").agg(F.max("n").alias("n"))
-        meant = self.words.where((F.col("n") >= LEAST) & F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & (F.length("word") >= 2))
-        a = rare.select("word", "n", F.explode(_read_keys("word")).alias("key"))
-        b = meant.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(_meant_keys("word")).alias("key"))
+        meant = self.words.where((F.col("n") >= LEAST) & F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & (F.length("word") >= 2)).select("word", "n")
+        # no word is so rare that the most frequent one isn't often enough more frequent
+        most = meant.agg((F.max("n") / RATIO).alias("most"))
+        rare = rare.join(most, F.col("n") <= F.col("most")).select("word", "n")
+        a = rare.mapInArrow(_keyed(0), "word string, n bigint, key bigint")
+        b = meant.mapInArrow(_keyed(1), "word string, n bigint, key bigint").withColumnsRenamed({"word": "meant", "n": "n_meant"})
         met = a.join(b, "key").where((F.col("word") != F.col("meant")) & (F.col("n_meant") >= F.col("n") * RATIO)).select("word", "n", "meant", "n_meant").distinct()
-        near = met.withColumn("d", _distance("word", "meant")).where(F.col("d") <= F.when(F.length("word") >= 6, 1.2).otherwise(0.8))
-        order = Window.partitionBy("word").orderBy(F.col("d") - 0.05 * F.log("n_meant"), "meant")
-        return near.withColumn("rank", F.row_number().over(order))
+        # a map, so that no filter on it is moved before the pairs are made distinct
+        return met.mapInArrow(_fitting, "word string, n bigint, meant string, n_meant bigint, d double, other boolean")
 
     def parted(self) -> DataFrame:
         """word, parts: words that are several common words without their blanks, each pair of them known."""
         known = self.common
         total = sum(known.values()) or 1
+        longest = max(map(len, known), default=0)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 words = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([part_word(w, known, total) for w in words], pa.list_(pa.string()))], names=["word", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([part_word(w, known, total, longest) for w in words], pa.list_(pa.string()))], names=["word", "parts"])
 
         return self._known(self._runs().mapInArrow(part, "word string, parts array<string>").where(F.size("parts") > 1))
 
@@ -360,22 +471,24 @@ class Lexicon:
         runs = self._runs().join(lost, "word", "left_anti")
         total = self.words.agg(F.sum("n")).first()[0] or 1
         whole = self.words.join(lost, "word", "left_anti").select(F.col("word").alias("part"), F.col("n").alias("c"))
-        met = runs.mapInArrow(_substrings, "word string, part string").join(whole, "part")
+        # a part is as long as some word: at most as many lengths as the longest word has letters
+        lengths = sorted(r["k"] for r in whole.select(F.length("part").alias("k")).distinct().collect())
+        runs = runs.withColumn("id", F.xxhash64("word"))
+        met = runs.mapInArrow(_substrings(lengths), "id bigint, part string").join(whole, "part")
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def part(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for words, known in batches:
                 yield pa.array([part_word(w, {x["part"]: x["c"] for x in k}, total) for w, k in zip(words.to_pylist(), known.to_pylist(), strict=True)], pa.list_(pa.string()))
 
-        each = met.groupBy("word").agg(F.collect_list(F.struct("part", "c")).alias("known"))
+        each = met.groupBy("id").agg(F.collect_list(F.struct("part", "c")).alias("known")).join(runs, "id")
         split = each.select("word", part("word", "known").alias("parts")).where(F.size("parts") > 1)
-        checkpoint = split.checkpoint()  # read twice
-        return self._known(checkpoint)
+        return self._known(split.checkpoint())  # read twice
 
     def _runs(self) -> DataFrame:
         """word: what may be several words."""
         free = self.words.join(self.candidates.select("word").distinct(), "word", "left_anti")
-        return free.where(F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & F.length("word").between(5, RUN)).select("word")
+        return free.where(F.col("word").rlike(_SPACED.pattern) & F.col("word").rlike(r"^[\p{L}']+$") & (F.length("word") >= 5)).select("word")
 
     def _known(self, split: DataFrame) -> DataFrame:
         """Of words with their parts those whose pairs speak for the parts."""
@@ -409,7 +522,7 @@ class Lexicon:
                         words = _words(x)
                         m = _CUT.search(x) if x.rstrip(" \t")[-1:] in _MARKS else None
                         last = len(words) - (1 if m else 0)
-                        rest = {w for w in set(words).difference(known) if len(w) <= RUN and not w.isdigit() and _SPACED.match(w)}
+                        rest = {w for w in set(words).difference(known) if not w.isdigit() and _SPACED.match(w)}
                         for k in range(1 if cut else 0, last) if rest else ():
                             w = words[k]
                             if w in rest:
@@ -435,10 +548,15 @@ class Lexicon:
         score = F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0))) + 0.5 * F.log("n_meant") - 6 * F.col("d")
         picked = scored.groupBy("section_key", "field", "region", "line_no", "pos", "word").agg(F.max_by("meant", F.struct(score, "meant")).alias("repair"))
         lost = seen.join(self.lost, "word").select("section_key", "field", "region", "line_no", "pos", "word", F.array_join("parts", " ").alias("repair"))
-        # figures within a word that the lexicon hasn't: misread, whatever was meant
-        figures = seen.join(self.candidates.select("word").distinct(), "word", "left_anti").where(F.col("word").rlike(r"^\p{L}+[01589]\p{L}+$|^[01589]\p{Ll}{4,}$|^\p{L}{5,}[01589]$"))
-        figures = figures.select("section_key", "field", "region", "line_no", "pos", "word", F.lit(None).cast("string").alias("repair"))
-        return plain.unionByName(picked).unionByName(lost).unionByName(figures)
+        # by other edits: what stands on both sides must know the repair, better than the word itself
+        other = seen.join(self.general.select("word", "n", "meant", "n_meant", "d"), "word").join(self.lost.select("word"), "word", "left_anti")
+        own_left = pairs.select(F.col("w1").alias("before"), F.col("w2").alias("word"), F.col("n").alias("own_left"))
+        own_right = pairs.select(F.col("w1").alias("word"), F.col("w2").alias("after"), F.col("n").alias("own_right"))
+        known = other.join(left, ["before", "meant"], "left").join(right, ["meant", "after"], "left").join(own_left, ["before", "word"], "left").join(own_right, ["word", "after"], "left")
+        speaks = lambda side, n, own: F.col(side).isNull() | (F.coalesce(n, F.lit(0)) >= F.lit(CONTEXT) * F.coalesce(own, F.lit(1)))
+        known = known.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & speaks("before", F.col("n_left"), F.col("own_left")) & speaks("after", F.col("n_right"), F.col("own_right")))
+        by_context = known.groupBy("section_key", "field", "region", "line_no", "pos", "word").agg(F.max_by("meant", F.struct(score, "meant")).alias("repair"))
+        return plain.unionByName(picked).unionByName(lost).unionByName(by_context)
 
     def joined(self) -> DataFrame:
         """The cut words that are written as one: with the whole word, and in which part it is misread if it is."""
@@ -456,20 +574,35 @@ class Lexicon:
         return rows.select("section_key", "field", "region", "line_no", "to_section", "to_line", "w1", "w2", "whole", bad.alias("bad"))
 
 
-def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word with all its shorter pieces that may be a part."""
-    for b in batches:
-        for words in (b.column(0).to_pylist()[k : k + 500] for k in range(0, b.num_rows, 500)):
-            rows = [(w, p) for w in words for p in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w)} if len(p) > 1 or p in ALONE]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["word", "part"])
+def _substrings(lengths: list[int]):
+    """The id of each word with all the word's shorter pieces of these lengths that may be a part; a bounded number of rows at a time."""
+
+    def batch(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "part"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, str]] = []
+            for r in b.to_pylist():
+                w = r["word"]
+                for n in lengths:
+                    if n < len(w):
+                        rows += [(r["id"], p) for p in {w[i : i + n] for i in range(len(w) - n + 1)} if n > 1 or p in ALONE]
+                    if len(rows) > 20_000:
+                        yield batch(rows)
+                        rows = []
+            yield batch(rows)
+
+    return emit
 
 
-def part_word(word: str, known: dict[str, int], total: int) -> list[str]:
+def part_word(word: str, known: dict[str, int], total: int, longest: int | None = None) -> list[str]:
     """The likeliest way to part a word into known words of two letters or more (or of one that stands alone); the word itself if none."""
     n = len(word)
+    longest = max(map(len, known), default=0) if longest is None else longest
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
     for end in range(1, n + 1):
-        for start in range(end):
+        for start in range(max(0, end - longest), end):
             w = word[start:end]
             c = known.get(w) if end - start < n else None
             if c is None or best[start][0] == -math.inf or (len(w) == 1 and w not in ALONE) or (len(w) <= 3 and c < 20):

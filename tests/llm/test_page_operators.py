@@ -152,6 +152,8 @@ def test_weighted_distance():
 def test_delete_keys_meet():
     for read, meant in (("hcading", "heading"), ("poicls", "poids"), ("arnendrnent", "amendment"), ("dassification", "classification"), ("authonsation", "authorisation"), ("8order", "border")):
         assert scan_noise._deletes(read, 0) & scan_noise._deletes(meant, 1), read
+    for read, meant in (("hoading", "heading"), ("regstration", "registration"), ("haeding", "heading"), ("5e55i0n5", "sessions")):
+        assert scan_noise._deletes(read, 0) & scan_noise._deletes(meant, 1), read
     assert not scan_noise._deletes("cat", 0) & scan_noise._deletes("dog", 1)
 
 
@@ -204,6 +206,65 @@ def test_scan_noise_cases(spark):
     assert "stration" not in text[c].split()[:1] and "heat-resistant gaskets" in text[d].replace("heat- resistant", "heat-resistant")
 
 
+PAGE = "section_key bigint, doc_id bigint, source_page int, raw_text string, ocr_markdown string, image_ocr array<struct<region:int,markdown:string>>, loaded_at timestamp"
+
+
+def test_any_edit_within_a_word_is_repaired(spark):
+    """Substituted, lost and swapped letters beside frequent words; figures that belong to a word, inflections and other words stay."""
+    rnd = random.Random(3)
+    words = "the tariff office compares printed gaskets with heading numbers and examines every determination of crushed lanterns after separate registration".split()
+    lines = [" ".join(rnd.choice(words) for _ in range(9)) for _ in range(800)]
+    odd = ["the hoading of every lanterns", "after regstration and the haeding numbers", "windows8 and section5 of the headings", "every he4ding of crushed gaskets", "office headlong compares"]
+    pages = [(k, 1, k, "\n".join(lines[20 * k : 20 * k + 20] + odd[k : k + 1]), None, None, None) for k in range(40)]
+    x = scan_noise.Lexicon(spark.createDataFrame(pages, PAGE))
+    got = {r.word: r.repair for r in x.repairs().select("word", "repair").collect()}
+    assert got == {"hoading": "heading", "regstration": "registration", "haeding": "heading", "he4ding": "heading"}
+    text = {r.section_key: r.text for r in scan_noise.repaired(spark.createDataFrame(pages, PAGE), x).collect()}
+    assert "after registration and the heading numbers" in text[1] and "windows8 and section5 of the headings" in text[2]
+
+
+def test_running_titles_of_few_pages(spark):
+    """A title on 8 of 40 pages, one longer than any line, none on two; ends of sentences are no titles."""
+    rnd = random.Random(8)
+    long = "Rules of the Harbour and of all its Basins " * 30
+
+    def page(p):
+        head = ["Of Ropes"] if 10 <= p < 18 else [long.strip()] if 20 <= p < 23 else ["On Two"] if p in (30, 31) else []
+        return "\n".join([*head, *(" ".join("".join(rnd.choice("aegkmopstz") for _ in range(7)) for _ in range(5)) for _ in range(8)), *(["brought in."] if p % 9 == 0 else [])])
+
+    df = spark.createDataFrame([(p, 1, p, page(p), None, None, None) for p in range(1, 41)], PAGE)
+    got = {(r.section_key, r.line_no) for r in scan_noise.found_lines(df).where("kind = 'header'").collect()}
+    assert got == {(p, 1) for p in (*range(10, 18), *range(20, 23))}
+
+
+def test_words_of_any_length(spark):
+    """A run of thousands of letters is parted, a misread one is repaired, and neither is dropped."""
+    rnd = random.Random(4)
+    words = ["tariff", "office", "gaskets", "lanterns", "numbers", "heading", "crushed"]
+    chain = [rnd.choice(words) for _ in range(600)]
+    long = "".join(rnd.choice("abcdefghjkqrstuvxyz") for _ in range(700))
+    wrong = long[:300] + "9" + long[301:] if long[300] == "g" else long[:300] + "rn" + long[301:]
+    right = long if long[300] == "g" else long[:300] + "m" + long[301:]
+    lines = [" ".join(rnd.choice(words) for _ in range(9)) for _ in range(800)] + ["".join(chain)] + [f"the {right} stands"] * 20 + [f"the {wrong} stands"]
+    x = scan_noise.Lexicon(spark.createDataFrame([(1, 1, 1, "\n".join(lines), None, None, None)], PAGE), common=4)
+    got = {r.word: r.repair for r in x.repairs().select("word", "repair").collect()}
+    assert got == {"".join(chain): " ".join(chain), wrong: right}
+
+
+def test_long_words_meet_by_segments():
+    rnd = random.Random(5)
+    for _ in range(300):
+        w = "".join(rnd.choice("abcdefghiklmnorstuv") for _ in range(rnd.randint(28, 90)))
+        read = w
+        for _ in range(2):
+            i = rnd.randrange(len(read) - 2)
+            a, b = rnd.choice([(read[i : i + 1], ""), ("", "x"), (read[i : i + 1], "y"), *((b, a) for a, b in scan_noise.PAIRS if read.startswith(b, i))])
+            read = read[:i] + b + read[i + len(a) :]
+        assert scan_noise._keys(read, 0) & scan_noise._keys(w, 1), (read, w)
+        full = scan_noise.distance(read, w)
+        assert full <= 2.5 and scan_noise.distance(w, w) == 0
+
+
 def test_scan_noise_of_nothing(spark):
     df, _ = corpus(spark)
     assert scan_noise.found_lines(df.where("false")).count() == 0
