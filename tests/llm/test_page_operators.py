@@ -18,11 +18,11 @@ from tests.compare import database, rows_of, sql_rows
         ("# Head", {"heading"}), ("Head\n====", {"heading"}), ("== Head ==", {"heading"}), ("<h2 class='t'>Head</h2>", {"heading"}), ("\\section*{Head}", {"heading"}), ("<H3>cut", {"heading"}),
         ("* a\n* b", {"list"}), ("- [ ] a", {"list"}), ("<ul><li>a</li></ul>", {"list"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"list"}), ("<dt>a</dt><dd>b</dd>", {"list"}),
         ("```py\n# no heading\n- no list\n```", {"code"}), ("~~~\n$x = $y\n", {"code"}), ("<pre><code>a &lt; b\n</code></pre>", {"code"}), ("\\begin{verbatim}\n<table>\n\\end{verbatim}", {"code"}),
-        ("$$x^{2}$$", {"formula"}), ("Here $a_{k}$ holds.", {"formula"}), ("The rate is $x^{2} for looms.", {"formula"}), ("\\[m = \\rho V\\]", {"formula"}), ("<math><mi>x</mi></math>", {"formula"}), ("\\begin{align*}\na &= b \\\\\n\\end{align*}", {"formula"}), ('<p class="math">\\(x\\)</p>', {"formula"}),
+        ("$$x^{2}$$", {"formula"}), ("Here $a_{k}$ holds.", {"formula"}), ("The rate is $x^{2} for looms.", {"formula"}), ("\\[m = \\rho V\\]", {"formula"}), ("<math><mi>x</mi></math>", {"formula"}), ("\\begin{align*}\na &= b \\\\\n\\end{align*}", {"formula"}), ('<p class="math">\\(x\\)</p>', {"formula", "inline"}),
         ("| a | b |\n|---|---|\n| c | d |", {"table"}), ("a | b\n---|---\nc | d", {"table"}), ("{|\n|-\n| a || b\n|}", {"table"}), ("<table><tr><td>a</td></tr></table>", {"table"}), ("\\begin{tabular}{ll}\na & b \\\\\n\\end{tabular}", {"table"}), ("<html><body><table><tr><td>a</table></body></html>", {"table", "inline"}),
         ("<table>\n<tr><td>a</td></tr>\n\n<p>b</p>\n\n<table>\n<tr><td>c</td></tr>\n</table>", {"table", "inline"}), ("<table>\n<tr><td>a</td></tr>\n\n<h1>b</h1>\n\n* c\n\n<table><tr><td>d</td></tr></table>", {"table", "heading", "list"}), ("<table>\n<tr><td>a</td></tr>\n\n<tr><td>b</td></tr>\n</table>", {"table"}), ("{|\n| a || b\n\n''c''\n\n{|\n| d\n|}", {"table", "inline"}),
         ("a **b** c", {"inline"}), ("<p>a</p>", {"inline"}), ("a&nbsp;b", {"inline"}), ("<!-- x -->", {"inline"}), ("[a](b.md)", {"inline"}), ("[[a|b]]", {"inline"}), ("''a''", {"inline"}), ("\\emph{a}", {"inline"}), ("a~b\\\\", {"inline"}), ("<font size=2>a", {"inline"}), ("`a_1`", {"inline"}), ("# A **b**", {"heading", "inline"}),
-        ("(a) lettered note", set()), ("- 12 -", set()), ("US$ 40 to US$ 60", set()), ("C:\\lists\\8", set()), ("plan_v2_final #4 <0.5 a & b Free*", set()), ("[OCR PENDING: page-1-region-1 — image content requires review]", set()), ("a | b | c", set()), ("-----", set()), ("[1] |x| [sic]", set()), ("", set()), ("   ", set()), ("1. Numbered", set()),
+        ("(a) lettered note", set()), ("- 12 -", set()), ("US$ 40 to US$ 60", set()), ("C:\\lists\\8", set()), ("plan_v2_final #4 <0.5 a & b Free*", set()), ("[OCR PENDING: page-1-region-1 — image content requires review]", set()), ("a | b | c", set()), ("-----", set()), ("[1] |x| [sic]", set()), ("", set()), ("   ", set()), ("1. Numbered", set()), ("1. One\n2. Two", {"list"}), ("3) c\n4) **d**", {"list", "inline"}), ("14. M\u00e4rz\n36) or", set()), ("1. One\n\n2. Two", set()), ("$" + "x + " * 200 + "y^{2}$", {"formula"}), ("= " + "Long " * 100 + "=", set()), ("== " + "Long " * 100 + "==", {"heading"}),
     ],
 )
 def test_kinds_of_markup(text, kinds):
@@ -71,6 +71,59 @@ def test_style_tree_keeps_real_text(spark):
     assert all("On some pages" in got[k].clean for k in range(0, 600, 12)) and "# Share this page" in got[3].clean
 
 
+STYLE = "section_key bigint, doc_id bigint, content string, ocr_markdown string, image_ocr array<struct<region:int,markdown:string>>, loaded_at timestamp"
+
+
+def test_style_tree_keeps_what_differs_in_figures_and_signs(spark):
+    """Formulas, code and prices of one form on every page stay; a notice, a repeated list and a named footer go as branches."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    def page(k):
+        own = f"$$x + {k} = y$$\n\n```\nreturn {k}\n```\n\nPrice list {k}: {k * 3} EUR\n\n{word()} {word()}"
+        menu = "* Home\n* Contact us\n* Imprint"
+        foot = f'<div class="footer">\nAll rights reserved{" here" if k == 5 else ""}\n</div>'
+        return f"{menu}\n\n{own}\n\n* {word()}\n* Contact us\n\n{foot}"
+    df = spark.createDataFrame([(k, k, page(k), None, None, None) for k in range(40)], STYLE)
+    got = {r.section_key: r for r in markup.clean_text(df, spark.createDataFrame([(k, "s") for k in range(40)], "doc_id bigint, source string")).collect()}
+    for k, r in got.items():
+        assert f"$$ x + {k} = y $$" in r.clean and f"return {k}\n" in r.clean and f"Price list {k}: {k * 3} EUR" in r.clean
+        assert "Home" not in r.clean and "Imprint" not in r.clean and ("All rights" in r.clean) == (k == 5)
+        assert r.n_removed == (5 if k != 5 else 4) and r.clean.count("\n\n\n") == 0
+
+
+def test_dom_nests(spark):
+    text = "<div class='a b'>\n# One\n\n* x\n** y\n\n## Two\n\ntext\n</div>\n\n| a | b |\n|---|---|\n| c | d |"
+    root = markup.build(markup.parse(text))
+    show = lambda b: (b.label.strip(), [show(c) for c in b.children])
+    line = ("paragraph", [("line", [])])
+    assert show(root) == ("page", [("div class=a b", [("section 1", [("heading atx", []), ("list bullet", [("item", []), ("item nested", [])]), ("section 2", [("heading atx", []), line])])]), ("table pipe", [("row", []), ("row", [])])])
+    rows = markup.rows_of(text)
+    for i, r in enumerate(rows):  # a branch ends behind its last node; only leaves have text
+        assert i < r["end"] <= len(rows) and (r["clean"] is None) == (r["goes_on"] is not None)
+    assert markup.rows_of("") == [] and len(markup.rows_of("<div>\n" * 5000)) == 5000
+
+
+def test_style_tree_against_brute_force(spark):
+    """Content importance and share of every node, counted plainly."""
+    import math
+    from collections import defaultdict
+
+    rnd = random.Random(12)
+    pool = ["share this", "* one\n* two", "# Head", "$$a$$", "| a | b |\n|---|---|\n| c | d |", "<p class=x>bye</p>"]
+    texts = [(k, rnd.choice("stu"), "\n\n".join(rnd.choice(pool) if rnd.random() < 0.6 else "".join(rnd.choice("abcdef") for _ in range(6)) for _ in range(5))) for k in range(60)]
+    df = spark.createDataFrame([(k, k, t, None, None, None) for k, _, t in texts], STYLE)
+    nodes = markup.occurrences(markup.dom(df, spark.createDataFrame([(k, s) for k, s, _ in texts], "doc_id bigint, source string")))
+    pages, on = defaultdict(set), defaultdict(set)
+    for k, s, t in texts:
+        pages[s].add(k)
+        for r in markup.rows_of(t):
+            if r["content"] is not None:
+                on[s, r["path"], r["content"]].add(k)
+    want = {key: (round(1 - math.log(len(v)) / math.log(len(pages[key[0]])), 9), round(len(v) / len(pages[key[0]]), 9)) for key, v in on.items()}
+    got = {(r.source, r.path, r.content): (round(r.importance, 9), round(r.share, 9)) for r in markup.style_tree(nodes)[1].collect()}
+    assert got == want
+
+
 # --- lines of a source
 
 
