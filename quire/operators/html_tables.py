@@ -100,21 +100,36 @@ def read(html: str | None) -> dict:
     return {"tables": [g for g in grids if g], "open": marks[-1:] == ["+table"], "error": None}
 
 
-def _markdown_table(m: re.Match) -> str:
-    got = read(m.group())
-    if got["error"]:
-        return m.group()
-    if len(got["tables"]) != 1 or got["tables"][0]["merges"]:
-        return re.sub("(</tr>)", "\\1\n", m.group())
-    grid = got["tables"][0]["rows"]
-    head = [[f"Column {i + 1}" for i in range(len(grid[0]))], ["---"] * len(grid[0])]
-    line = lambda cells: "| " + " | ".join(c.replace("|", "\\|").replace("\n", "<br>") for c in cells) + " |"
-    return "\n" + "\n".join(map(line, head + grid)) + "\n"
+_TABLE = re.compile(r"<table\b[^>]*>.*?</table>", re.I | re.S)
+_WRAPPER = re.compile(r"</?(?:html|body|div)\b[^>]*>", re.I)
+_IN_CELL = str.maketrans({"|": "\\|", "\n": "<br>"})
+
+
+def pipe_table(grid: list[list[str]]) -> str:
+    """A full grid as a pipe table under numbered columns, as no row of data is taken for a header."""
+    width = len(grid[0])
+    lines = [[f"Column {c}" for c in range(1, width + 1)], ["---"] * width, *([c.translate(_IN_CELL) for c in row] for row in grid)]
+    return "".join(f"\n| {' | '.join(x)} |" for x in lines) + "\n"
+
+
+def _shown(html: str) -> str:
+    """A table as it is best read: a plain grid by pipes, one with merged cells as HTML with a line a row, one that can't be told as it is."""
+    found = read(html)
+    if found["error"]:
+        return html
+    plain = [g for g in found["tables"] if not g["merges"]]
+    if len(plain) == len(found["tables"]) == 1:
+        return pipe_table(plain[0]["rows"])
+    return html.replace("</tr>", "</tr>\n")
 
 
 def readable(text: str) -> str:
-    """Tables without merged cells as pipe tables (no data row becomes a header), others as HTML; wrappers go."""
-    return re.sub(r"</?(?:html|body|div)\b[^>]*>", "", re.sub(r"<table\b[^>]*>.*?</table>", _markdown_table, text, flags=re.I | re.S), flags=re.I).strip()
+    """The text with each of its tables as it is best read; wrappers go."""
+    parts, at = [], 0
+    for table in _TABLE.finditer(text):
+        parts += [text[at : table.start()], _shown(table.group())]
+        at = table.end()
+    return _WRAPPER.sub("", "".join([*parts, text[at:]])).strip()
 
 
 def fragments(text: str) -> dict:
