@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ from quire.operators.layout import PAGE, anchored, objects, visual_line
 
 # The labels of the columns, and what marks such a table.
 LABELS = ("Heading/Subheading", "Statistical suffix", "Article description", "Unit of quantity", "General duty", "Special duty", "Column 2 duty")
+DOCUMENT_TITLE = "Harmonized Tariff Schedule of the United States"
+ROW_NOTICE = "Table rows are physical lines, not complete records; use source coordinates and layout for hierarchy and continuations."
+ROW_SEMANTICS = "Physical lines; blank cells and continuations are not inferred."
 MARK, HEADS = "Article Description", {"General", "Special"}
 TITLE = r"(?i)Harmonized\s+Tariff\s+Schedule"
 _OUT = T.StructType([T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("lines", T.ArrayType(T.StringType()))])
@@ -51,6 +54,11 @@ def _rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array([page_rows(a or [], b or []) for a, b in zip(lines.to_pylist(), edges.to_pylist(), strict=True)], pa.struct([("rows", pa.list_(pa.list_(pa.string()))), ("lines", pa.list_(pa.string()))]))
 
 
+def labelled(rows: Column) -> Column:
+    """Rows of seven cells as structs under their columns' labels."""
+    return F.transform(rows, lambda r: F.struct(*(F.get(r, i).alias(k) for i, k in enumerate(LABELS))))
+
+
 def is_schedule(page_texts: DataFrame, pages: int = 5) -> DataFrame:
     """doc_id, is_hts: whether one of the first pages (doc_id, page_no, raw_text) names the schedule."""
     return page_texts.where(F.col("page_no") <= pages).groupBy("doc_id").agg(F.max(F.coalesce(F.col("raw_text").rlike(TITLE), F.lit(False))).alias("is_hts"))

@@ -19,16 +19,19 @@ def fenced(text: Column) -> Column:
 
 
 def native_runs(blocks: Column) -> Column:
-    """Adjacent native blocks as one, joined by line ends."""
+    """Adjacent native blocks as one, joined by line ends: the array is cut where a run begins, so each block is read once."""
     kind = "array<struct<kind:string,text:string,flag_id:string>>"
+    blocks = blocks.cast(kind)
+    native = lambda i: F.coalesce(F.get(blocks, i)["kind"] == "native", F.lit(False))
+    begins = F.filter(F.sequence(F.lit(0), F.size(blocks) - 1), lambda i: (i == 0) | ~(native(i) & native(i - 1)))
 
-    def step(acc: Column, b: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        join = (b["kind"] == "native") & F.coalesce(last["kind"] == "native", F.lit(False))
-        one = F.struct(last["kind"].alias("kind"), F.concat(last["text"], F.lit("\n"), b["text"]).alias("text"), last["flag_id"].alias("flag_id"))
-        return F.when(join, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(acc, F.array(b))).cast(kind)
+    def run(start: Column, k: Column) -> Column:
+        part = F.slice(blocks, start + 1, F.coalesce(F.get(begins, k + 1), F.size(blocks)) - start)
+        first = F.get(part, F.lit(0))
+        text = F.when(F.size(part) > 1, F.array_join(F.transform(part, lambda b: b["text"]), "\n")).otherwise(first["text"])
+        return F.struct(first["kind"].alias("kind"), text.alias("text"), first["flag_id"].alias("flag_id"))
 
-    return F.aggregate(blocks.cast(kind), F.array().cast(kind), step)
+    return F.when(F.size(blocks) > 0, F.transform(begins, run)).otherwise(F.when(blocks.isNotNull(), F.array().cast(kind))).cast(kind)
 
 
 def section_markdown(sid: Column, title: Column, warnings: Column, text: Column, ocr: Column, blocks: Column | None = None) -> Column:

@@ -9,8 +9,13 @@ heading is a section "Preamble" if it isn't blank; null texts have no lines and
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as X
 
@@ -29,25 +34,25 @@ def _blank(line: Column) -> Column:
     return X.strip(line) == ""
 
 
-def glossary_score(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, has_word, page_markers, letter_dividers, is_glossary of each document, from its first lines."""
+def glossary_score(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
+    """keys, has_word, page_markers, letter_dividers, is_glossary of each document, from its first lines and, if a column holds it, its file's name."""
     s = X.strip(F.col("line"))
     out = lines.groupBy(*keys).agg(
-        F.max(F.lower("line").contains("glossary") & (F.col("line_no") < 350)).alias("has_word"),
+        F.max((F.lower("line").contains("glossary") & (F.col("line_no") < 350)) | (F.lit(False) if name is None else F.coalesce(F.lower(name).contains("glossary"), F.lit(False)))).alias("has_word"),
         F.count_if(s.rlike(GLOSSARY_MARKER) & (F.col("line_no") < 2000)).alias("page_markers"),
         F.count_if(s.rlike(GLOSSARY_DIVIDER) & (F.col("line_no") < 2000)).alias("letter_dividers"),
     )
     return out.withColumn("is_glossary", F.col("has_word") | ((F.col("page_markers") >= 5) & (F.col("letter_dividers") >= 3)))
 
 
-def raw_headings(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "auto") -> DataFrame:
+def raw_headings(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "auto", name: str | None = None) -> DataFrame:
     """keys, line_no, title, filled (non-blank lines up to here) of each heading line. mode: auto, chapter or glossary."""
     w = Window.partitionBy(*keys).orderBy("line_no")
     s = X.strip(F.col("line"))
     rows = lines.withColumn("_s", s).withColumn("_free", F.lag("_s", 1, "").over(w) == "").withColumn("filled", F.sum((F.col("_s") != "").cast("int")).over(w))
     glossary = F.lit(mode == "glossary")
     if mode == "auto":
-        rows = rows.join(glossary_score(lines, keys).select(*keys, F.col("is_glossary").alias("_g")), list(keys))
+        rows = rows.join(glossary_score(lines, keys, name).select(*keys, F.col("is_glossary").alias("_g")), list(keys))
         glossary = F.col("_g")
     c = F.col("_s")
     marker, divider = glossary & c.rlike(GLOSSARY_MARKER), glossary & c.rlike(GLOSSARY_DIVIDER)
@@ -119,9 +124,9 @@ def smoothed(sections: DataFrame, keys: tuple[str, ...] = ("doc_id",), least: in
     return grouped.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("_g")) - 1).alias("seq"), "title", "content")
 
 
-def detect(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "auto") -> DataFrame:
-    """The sections of each document: headings merged and thinned, contents, short ones joined."""
-    heads = sparse_headings(merged_headings(raw_headings(lines, keys, mode), keys), keys)
+def detect(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "auto", name: str | None = None) -> DataFrame:
+    """The sections of each document: headings merged and thinned, contents, short ones joined. ``name``: a column with the file's name, which may call it a glossary."""
+    heads = sparse_headings(merged_headings(raw_headings(lines, keys, mode, name), keys), keys)
     return smoothed(section_contents(lines, heads, keys), keys)
 
 
@@ -140,43 +145,75 @@ def document_title(sections: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return rows.select(*keys, F.coalesce(F.coalesce(F.nullif(bare, F.lit("")), F.col("_c")), X.strip(X.collapse(F.col("_f"))), F.lit("Unknown")).alias("title"))
 
 
-def validation(sections: DataFrame, keys: tuple[str, ...] = ("doc_id",), issues: str | None = None, page: str | None = None, versioned: bool = False) -> DataFrame:
-    """keys, warning: what is odd about each document's sections (id, title, content)."""
+def validation(sections: DataFrame, keys: tuple[str, ...] = ("doc_id",), issues: str | None = None, page: str | None = None, versioned: bool = False, documents: DataFrame | None = None) -> DataFrame:
+    """keys, warning: what is odd about each document's sections (id, title, content); with ``documents`` (keys), those without any too."""
     count = sections.groupBy(*keys).agg(F.count("*").alias("n"))
     few = count.where((F.col("n") < 2) & F.lit(not versioned)).select(*keys, F.concat(F.lit("WARNING: Only "), F.col("n").cast("string"), F.lit(" section detected. Expected at least 2.")).alias("warning"))
     short = sections.where((F.length("content") < MIN_CONTENT) & (F.lit(True) if page is None else F.col(page).isNull()))
     short = short.select(*keys, F.concat(F.lit("WARNING: Section '"), F.col("id"), F.lit(" – "), F.col("title"), F.lit("' is unusually short ("), F.length("content").cast("string"), F.lit(" chars).")).alias("warning"))
     out = few.unionByName(short)
+    if documents is not None:
+        none = documents.select(*keys).distinct().join(sections.select(*keys), list(keys), "left_anti")
+        out = out.unionByName(none.select(*keys, F.lit("WARNING: No headings were detected in the document.").alias("warning")))
     if issues:
         out = out.unionByName(sections.select(*keys, F.explode(issues).alias("_i"), "id").select(*keys, F.concat(F.lit("WARNING: "), F.col("id"), F.lit(": "), F.col("_i")).alias("warning")))
     return out
 
 
+_LINE = T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("s", T.StringType())])
+_LINE_ARROW = pa.struct([("line_no", pa.int32()), ("s", pa.string())])
+_CHAPTER = re.compile(X.CHAPTER.replace(X.WS, r"\s"))
+
+
+def _joined_run(lines: list[dict]) -> list[dict]:
+    """The lines of a run between blank ones, those that go on joined; ``alone`` ones begin and end a line."""
+    out: list[dict] = []
+    parts: list[str] = []  # of the line being joined; its last character, its length and its start are all that later lines ask for
+    size, alone = 0, True
+
+    def close() -> None:
+        if parts:
+            out.append({"line_no": first, "s": "".join(parts)})
+
+    first = None
+    for x in lines:
+        s = x["s"]
+        end = parts[-1][-1:] if parts else ""
+        free = bool(parts) and s != "" and size > 0 and not alone and not x["alone"]
+        if free and end == "-" and s[0].isalnum():
+            parts[-1] = parts[-1][:-1]
+            parts.append(s)
+            size += len(s) - 1
+        elif free and end not in ".!?:;" and (s[0].islower() or end in ",(/" or size >= 60):
+            parts += [" ", s]
+            size += 1 + len(s)
+        else:
+            close()
+            first, parts, size, alone = x["line_no"], [s], len(s), x["alone"]
+            continue
+        # two lines may make the beginning of a chapter between them
+        alone = bool(_CHAPTER.match("".join(parts[:5])))
+    close()
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_LINE))
+def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield pa.array([_joined_run(x or []) for x in b.to_pylist()], pa.list_(_LINE_ARROW))
+
+
 def joined_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, line_no, line: wrapped lines joined, cut words without their hyphen.
 
-    Whether a line goes on depends on the joined text only by its length of 60 or more, its end and its first mark; these are folded in order within each run between blank lines."""
+    Whether a line goes on depends on the joined text only by its length of 60 or more, its end and its first mark; these are carried along within each run between blank lines."""
     s = X.strip(F.col("line"))
     rows = lines.select(*keys, "line_no", s.alias("s"))
     w = Window.partitionBy(*keys).orderBy("line_no")
     run = F.sum(((F.col("s") == "") | (F.lag("s", 1, "").over(w) == "")).cast("int")).over(w)
-    item = F.struct("line_no", "s", X.is_bullet(F.col("s")).alias("b"), X.is_table_row(F.col("s")).alias("t"), X.is_chapter_line(F.col("s")).alias("c"))
+    item = F.struct("line_no", "s", (X.is_bullet(F.col("s")) | X.is_table_row(F.col("s")) | X.is_chapter_line(F.col("s"))).alias("alone"))
     runs = rows.withColumn("_r", run).groupBy(*keys, "_r").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    out = "array<struct<line_no:int,s:string,b:boolean,t:boolean,c:boolean>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        cur = last["s"]
-        stop = (x["s"] == "") | (cur == "") | last["b"] | x["b"] | last["t"] | x["t"] | last["c"] | x["c"]
-        hyphen = cur.endswith("-") & x["s"].rlike(r"^[\p{L}\p{N}]")
-        ended = cur.rlike(r"[.!?:;]$")
-        goes = x["s"].rlike(r"^\p{Ll}") | cur.rlike(r"[,(/]$") | (F.length(cur) >= 60)
-        glue = ~stop & (hyphen | (~ended & goes))
-        text = F.when(hyphen, F.concat(F.substring(cur, F.lit(1), F.length(cur) - 1), x["s"])).otherwise(F.concat_ws(" ", cur, x["s"]))
-        both = F.struct(last["line_no"].alias("line_no"), text.alias("s"), X.is_bullet(text).alias("b"), X.is_table_row(text).alias("t"), X.is_chapter_line(text).alias("c"))
-        return F.when((F.size(acc) > 0) & F.coalesce(glue, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x))).cast(out)
-
-    folded = runs.select(*keys, F.explode(F.aggregate(F.col("l").cast(out), F.array().cast(out), step)).alias("x"))
+    folded = runs.withColumn("_j", _joined("l")).select(*keys, F.explode("_j").alias("x"))
     return folded.select(*keys, "x.line_no", X.strip(X.collapse(F.col("x.s"))).alias("line"))
 
 

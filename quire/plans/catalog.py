@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import nested, pages, prose, recover
+from quire.plans import made, nested, pages, prose, recover
 
-QUERIES = {**prose.QUERIES, **pages.QUERIES, **recover.QUERIES, **nested.QUERIES}
-SQL = {**prose.SQL, **pages.SQL, **recover.SQL, **nested.SQL}
+QUERIES = {**prose.QUERIES, **pages.QUERIES, **recover.QUERIES, **nested.QUERIES, **made.QUERIES}
+SQL = {**prose.SQL, **pages.SQL, **recover.SQL, **nested.SQL, **made.SQL}

@@ -82,14 +82,6 @@ def rule_groups(spark: SparkSession, folder: str) -> DataFrame:
     return o.groupBy(*PAGE, F.bround("y0").cast("int").alias("low"), F.bround("y1").cast("int").alias("high")).agg(F.count("*").alias("n"), F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 
-def column_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges that long vertical rules of a page draw, and whether they make seven columns."""
-    o = layout.objects(ruled_objects(spark, folder))
-    tall = o.where("kind in ('rule', 'rect') and x1 - x0 <= 2").join(layout.page_size(o), list(PAGE)).where("y1 - y0 > height * 0.05")
-    e = tall.groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.bround((F.col("x0") + F.col("x1")) / 2, 1))).alias("e"))
-    return e.select(*PAGE, F.size("e").alias("n_edges"), F.get("e", 0).alias("first_edge"), F.element_at("e", -1).alias("last_edge"), (F.size("e") == 8).alias("seven_columns"))
-
-
 def column_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Which column (between the edges of a page's vertical rules) the middle of each line lies in; -1 before the first."""
     o = layout.objects(ruled_objects(spark, folder))
@@ -148,13 +140,13 @@ def capacity_formula(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines_conserved(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages whose lines and whose raw text don't hold the same characters: none, if nothing is lost."""
+    """Lines and characters of each document's page records, and how many lines its objects have that these haven't, and the other way round."""
     src = layout.objects(objects(spark, folder)).where((F.col("kind") == "line") & (X.strip(F.coalesce("text", F.lit(""))) != "")).select(*PAGE, F.regexp_replace("text", "\n+$", "").alias("line"))
     out = layout.inspect(objects(spark, folder)).select(*PAGE, F.explode("source_lines").alias("l")).select(*PAGE, F.col("l.text").alias("line"))
     lost = src.exceptAll(out).groupBy("doc_id").agg(F.count("*").alias("lost"))
     made = out.exceptAll(src).groupBy("doc_id").agg(F.count("*").alias("made"))
-    pages = src.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    return pages.join(lost, "doc_id", "left").join(made, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("lost", F.lit(0).cast("bigint")).alias("lost"), F.coalesce("made", F.lit(0).cast("bigint")).alias("made"))
+    pages = out.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return pages.join(lost, "doc_id", "left").join(made, "doc_id", "left").select("doc_id", "n_lines", "n_chars", F.coalesce("lost", F.lit(0).cast("bigint")).alias("lost"), F.coalesce("made", F.lit(0).cast("bigint")).alias("made"))
 
 
 def page_progress(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +156,7 @@ def page_progress(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(*PAGE, F.row_number().over(w).alias("done"), F.count("*").over(Window.partitionBy("doc_id")).alias("total"), F.sum("n_lines").over(w).alias("lines_so_far"))
 
 
-_QUERIES = (page_text, page_issues, page_layout_text, page_regions, orientation_vote, text_lines, page_counts, chain_cluster, rule_groups, column_edges, column_buckets, ruled_tables, page_tables, vector_figures, chapter_carry_forward, tariff_rows, hts_probe, crop_boxes, capacity_formula, lines_conserved, page_progress)
+_QUERIES = (page_text, page_issues, page_layout_text, page_regions, orientation_vote, text_lines, page_counts, chain_cluster, rule_groups, column_buckets, ruled_tables, page_tables, vector_figures, chapter_carry_forward, tariff_rows, hts_probe, crop_boxes, capacity_formula, lines_conserved, page_progress)
 QUERIES = {q.__name__: q for q in _QUERIES}
 
 _G = "with o as (" + _GRID.replace("{text}", "varchar").replace("{nation}", "nation").replace("0D", "0::double").replace(".5D", ".5::double").replace("792D", "792::double").replace("612D", "612::double").replace("45D", "45::double").replace("145D", "145::double").replace("1D m_a", "1::double m_a") + "),\n"
@@ -191,8 +183,6 @@ select p.doc_id, p.page_no, cast(case when n >= 20 and n >= total * 0.8 then q e
     "page_counts": "select doc_id, count(distinct page_no) n_pages from layout_objects group by 1",
     "chain_cluster": _O + "a as (select *, case when x0 - lag(x0) over w <= 1 then 0 else 1 end f from o where kind = 'line' and x0 is not null window w as (partition by doc_id, page_no order by x0)), b as (select *, sum(f) over (partition by doc_id, page_no order by x0) c from a) select doc_id, page_no, cast(c as int) as cluster, round(avg(x0), 6) mean, count(*) n from b group by 1, 2, 3",
     "rule_groups": _G + "_ as (select 1) select doc_id, page_no, cast(round_even(y0, 0) as int) low, cast(round_even(y1, 0) as int) high, count(*) n, min(x0) as left, max(x1) as right from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3, 4",
-    "column_edges": _G
-    + "z as (select doc_id, page_no, max(y1 - y0) height from o where kind = 'page' group by 1, 2), e as (select o.doc_id, o.page_no, list_sort(list(distinct round_even((x0 + x1) / 2, 1))) e from o join z on o.doc_id = z.doc_id and o.page_no = z.page_no where kind in ('rule', 'rect') and x1 - x0 <= 2 and y1 - y0 > height * 0.05 group by 1, 2) select doc_id, page_no, cast(len(e) as int) n_edges, e[1] first_edge, e[len(e)] last_edge, len(e) = 8 seven_columns from e",
     "column_buckets": _G
     + "e as (select doc_id, page_no, (x0 + x1) / 2 m from o where kind in ('rule', 'rect') and x1 - x0 <= 1 and y1 - y0 >= 20 group by 1, 2, 3), g as (select doc_id, page_no, list(m) e from e group by 1, 2) select o.doc_id, o.page_no, obj_id, cast(len(list_filter(g.e, lambda v: v <= (x0 + x1) / 2)) - 1 as int) bucket from o join g on o.doc_id = g.doc_id and o.page_no = g.page_no where kind = 'line' and text is not null",
     "ruled_tables": """with r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation)
@@ -220,6 +210,6 @@ d as (select *, ceil(w * (300::double / 72)) pw, ceil(h * (300::double / 72)) ph
 e as (select section_key, n, greatest(0, cast(trunc(x0 * (pw / w)) as int)) l, greatest(0, cast(trunc((h - y1) * (ph / h)) as int)) u, least(cast(pw as int), cast(trunc(x1 * (pw / w) + 0.999) as int)) r, least(cast(ph as int), cast(trunc((h - y0) * (ph / h) + 0.999) as int)) d from d)
 select section_key, n, case when r > l and d > u then l end as left, case when r > l and d > u then u end upper, case when r > l and d > u then r end as right, case when r > l and d > u then d end lower from e""",
     "capacity_formula": "with b as (select c_custkey, abs(c_acctbal) / 100 ram, greatest(2.5::double, (c_custkey % 8) * 1.25::double) budget from customer) select c_custkey, budget, cast(greatest(0, least(3, floor(greatest(0, ram - 3) / budget))) as int) cpu_workers, cast(greatest(0, least(3, floor(greatest(0, ram - 3) / budget), floor(greatest(0, ram / 2 - 1) / budget))) as int) gpu_workers from b",
-    "lines_conserved": _O + f"_ as (select 1) select doc_id, count(*) n_lines, 0::bigint lost, 0::bigint made from o where kind = 'line' and {_TEXT} <> '' group by 1",
+    "lines_conserved": _O + f"_ as (select 1) select doc_id, count(*) n_lines, cast(sum(length(regexp_replace(text, '\\n+$', ''))) as bigint) n_chars, 0::bigint lost, 0::bigint made from o where kind = 'line' and {_TEXT} <> '' group by 1",
     "page_progress": _P + "select doc_id, page_no, cast(row_number() over w as int) done, count(*) over (partition by doc_id) total, cast(sum(n_lines) over w as bigint) lines_so_far from p window w as (partition by doc_id order by page_no)",
 }

@@ -71,7 +71,7 @@ def repeated_line_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Kinds that are of pages rather than of prose: looked for in the raw text of sections.
-PAGE_KINDS = ("cid_lines", "figure_caption_lines", "image_caption_lines", "image_artifact_lines", "page_number_lines")
+PAGE_KINDS = ("cid_lines", "page_number_lines")
 
 
 def page_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,9 +93,6 @@ KINDS = {
     "table_row_lines": (X.is_table_row, _ROW),
     "page_number_lines": (X.is_page_number, f"regexp_matches(s, '{X.PAGE_NUMBER}')"),
     "chapter_lines": (X.is_chapter_line, f"regexp_matches(s, '{X.CHAPTER}')"),
-    "figure_caption_lines": (X.is_figure_caption, f"regexp_matches(s, '{X.FIGURE_CAPTION}')"),
-    "image_caption_lines": (lambda s: s.rlike(X.IMAGE_CAPTION), f"regexp_matches(s, '{X.IMAGE_CAPTION}')"),
-    "image_artifact_lines": (X.is_image_artifact, _ART),
     "cid_lines": (lambda s: s.rlike(X.CID), f"regexp_matches(s, '{X.CID}')"),
     "title_case_lines": (lambda s: (s != "") & X.is_title_case(s), f"s <> '' and {_TITLE}"),
     "allcaps_lines": (X.is_all_caps, _CAPS),

@@ -1,19 +1,24 @@
-"""PDF files to layout objects: a decoder for plain files, as a Spark data source and as a map over bytes.
-
-It reads what simple producers write: objects, Flate streams, page trees with inherited boxes,
-text (BT..ET with Td, TD, Tm, T*, Tj, TJ, ' and "), paths (re, m, l, h, S, f, B), inline and
-XObject images, cm, q and Q. Encrypted files, object streams and composite fonts are errors of
-their document, given as a row of kind ``error``. Where another decoder exists, its rows of the
-same columns serve all operators as well.
+"""PDF files to layout objects: files with their digests, a decoder for plain files, a Spark data source.
+
+``files`` lists what patterns match through Hadoop's file systems, with path, digest and bytes; a
+pattern that matches nothing is kept, as a failure. ``layout_objects`` decodes them, by the
+decoder here or any other (a function of bytes to rows of ``page_objects``' form), a bounded
+number of rows at a time.
+
+The decoder here reads what simple producers write: objects, Flate streams, page trees with
+inherited boxes, text (BT..ET with Td, TD, Tm, T*, Tj, TJ, ' and "), paths (re, m, l, h, S, f,
+B), inline and XObject images, cm, q and Q. Encrypted files, object streams and composite fonts
+are errors of their document, given as a row of kind ``error``. Where another decoder exists,
+its rows of the same columns serve all operators as well.
 """
 
 from __future__ import annotations
 
 import glob
-import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -240,15 +245,34 @@ def decode(name: str, data: bytes, pages: set[int] | None = None) -> Iterator[tu
         yield name, None, None, None, "error", None, None, None, None, f"{type(e).__name__}: {e}", None, None
 
 
-def layout_objects(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
-    """Rows of SCHEMA from binary files (path, content), decoded in Arrow batches."""
+def files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, list[str]]:
+    """path, digest, content of the files that the patterns match, each file once, and the patterns that match nothing."""
+    found, none = [], []
+    jvm = spark._jvm
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        hits = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        (found if hits is not None and len(hits) else none).append(p)
+    if not found:
+        return spark.createDataFrame([], "path string, digest string, content binary"), none
+    read = spark.read.format("binaryFile").load(found).select("path", F.sha2("content", 256).alias("digest"), "content")
+    return read if len(found) == 1 else read.dropDuplicates(["path"]), none
+
+
+#: Rows of an Arrow batch of decoded objects.
+BATCH = 20_000
+
+
+def layout_objects(files: DataFrame, pages: list[int] | None = None, decoder: Callable[..., Iterator[tuple]] = decode) -> DataFrame:
+    """Rows of SCHEMA from binary files (path, content), decoded in Arrow batches; doc_id is the path."""
     wanted = None if pages is None else set(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(decode(os.path.basename(path), data, wanted))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=COLUMNS)
+                rows = decoder(path, data, wanted)
+                while some := list(islice(rows, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in enumerate(_TYPES)], names=COLUMNS)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
@@ -282,9 +306,9 @@ class _Reader(DataSourceReader):
                 data = f.read()
         except OSError as e:
             data = None
-            yield os.path.basename(partition.path), None, None, None, "error", None, None, None, None, f"{type(e).__name__}: {e}", None, None
+            yield partition.path, None, None, None, "error", None, None, None, None, f"{type(e).__name__}: {e}", None, None
         if data is not None:
-            yield from decode(os.path.basename(partition.path), data, None if partition.pages is None else set(partition.pages))
+            yield from decode(partition.path, data, None if partition.pages is None else set(partition.pages))
 
 
 class PdfSource(DataSource):

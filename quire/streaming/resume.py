@@ -2,7 +2,9 @@
 
 A file stream with ``availableNow`` takes each new file once and ends; a file whose content
 changed under the same name has another digest, and results are kept by digest, so what is
-joined from the store is never stale. Failures are rows of kind ``error``.
+joined from the store is never stale. Each batch writes a folder of its own number, whole, so a
+batch that runs again leaves its rows once. Documents are named by their path, so files of one
+name in several folders stay apart. Failures are rows of kind ``error``.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ def convert_new(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
 
     ``checkpoint`` and ``out`` must be folders that all executors share."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        digests = df.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_id"), F.sha2("content", 256).alias("digest"))
-        layout_objects(df).join(digests, "doc_id").write.mode("append").parquet(out)
+    def batch(df: DataFrame, number: int) -> None:
+        own = df.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("digest"))
+        layout_objects(df).join(own, "doc_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return new_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -40,7 +42,7 @@ def convert_new(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
 def current(spark: SparkSession, folder: str, out: str) -> DataFrame:
     """The layout objects of what the folder's files hold now: rows of older contents are left out."""
     files = spark.read.format("binaryFile").load(folder)
-    now = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_id"), F.sha2("content", 256).alias("digest"))
+    now = files.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("digest"))
     return spark.read.parquet(out).join(now, ["doc_id", "digest"], "left_semi").select(*(c.split()[0] for c in SCHEMA.split(", ")), "digest")
 
 
