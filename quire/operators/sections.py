@@ -34,15 +34,22 @@ def _blank(line: Column) -> Column:
     return X.strip(line) == ""
 
 
+def _glossary_marks(name: str | None) -> tuple[Column, Column, Column]:
+    """Of a line: whether it calls the document a glossary (or the file's name does), is a page marker, is a letter's divider."""
+    s = X.strip(F.col("line"))
+    by_name = F.lit(False) if name is None else F.coalesce(F.lower(name).contains("glossary"), F.lit(False))
+    return (F.lower("line").contains("glossary") & (F.col("line_no") < 350)) | by_name, s.rlike(GLOSSARY_MARKER) & (F.col("line_no") < 2000), s.rlike(GLOSSARY_DIVIDER) & (F.col("line_no") < 2000)
+
+
+def _is_glossary(word: Column, markers: Column, dividers: Column) -> Column:
+    return word | ((markers >= 5) & (dividers >= 3))
+
+
 def glossary_score(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
     """keys, has_word, page_markers, letter_dividers, is_glossary of each document, from its first lines and, if a column holds it, its file's name."""
-    s = X.strip(F.col("line"))
-    out = lines.groupBy(*keys).agg(
-        F.max((F.lower("line").contains("glossary") & (F.col("line_no") < 350)) | (F.lit(False) if name is None else F.coalesce(F.lower(name).contains("glossary"), F.lit(False)))).alias("has_word"),
-        F.count_if(s.rlike(GLOSSARY_MARKER) & (F.col("line_no") < 2000)).alias("page_markers"),
-        F.count_if(s.rlike(GLOSSARY_DIVIDER) & (F.col("line_no") < 2000)).alias("letter_dividers"),
-    )
-    return out.withColumn("is_glossary", F.col("has_word") | ((F.col("page_markers") >= 5) & (F.col("letter_dividers") >= 3)))
+    word, marker, divider = _glossary_marks(name)
+    out = lines.groupBy(*keys).agg(F.max(word).alias("has_word"), F.count_if(marker).alias("page_markers"), F.count_if(divider).alias("letter_dividers"))
+    return out.withColumn("is_glossary", _is_glossary(F.col("has_word"), F.col("page_markers"), F.col("letter_dividers")))
 
 
 def raw_headings(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "auto", name: str | None = None) -> DataFrame:
@@ -51,8 +58,10 @@ def raw_headings(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: st
     s = X.strip(F.col("line"))
     rows = lines.withColumn("_s", s).withColumn("_free", F.lag("_s", 1, "").over(w) == "").withColumn("filled", F.sum((F.col("_s") != "").cast("int")).over(w))
     glossary = F.lit(mode == "glossary")
-    if mode == "auto":
-        rows = rows.join(glossary_score(lines, keys, name).select(*keys, F.col("is_glossary").alias("_g")), list(keys))
+    if mode == "auto":  # over the lines as they are partitioned already
+        word, marker, divider = _glossary_marks(name)
+        whole = Window.partitionBy(*keys)
+        rows = rows.withColumn("_g", _is_glossary(F.max(word).over(whole), F.count_if(marker).over(whole), F.count_if(divider).over(whole)))
         glossary = F.col("_g")
     c = F.col("_s")
     marker, divider = glossary & c.rlike(GLOSSARY_MARKER), glossary & c.rlike(GLOSSARY_DIVIDER)

@@ -181,6 +181,37 @@ def document_sections(spark: SparkSession, folder: str) -> DataFrame:
     return S.detect(lines(spark, folder))
 
 
+def document_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings of every document, merged, without dense ones."""
+    return S.sparse_headings(S.merged_headings(S.raw_headings(lines(spark, folder)))).select("doc_id", "start", "stop", "title")
+
+
+def document_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's sections before short ones are joined."""
+    rows = lines(spark, folder)
+    return S.section_contents(rows, S.sparse_headings(S.merged_headings(S.raw_headings(rows))))
+
+
+def _numbered_documents(spark: SparkSession, folder: str) -> DataFrame:
+    chapters = table(spark, folder, "documents").select("doc_id", F.coalesce("chapter", F.lit(0)).alias("_chapter"))
+    return S.numbered(document_sections(spark, folder).join(chapters, "doc_id"), F.col("_chapter")).drop("_chapter")
+
+
+def document_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's sections with their numbers."""
+    return _numbered_documents(spark, folder).select("doc_id", "seq", "id", "title")
+
+
+def document_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's title by its sections."""
+    return S.document_title(document_sections(spark, folder))
+
+
+def document_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """What validation finds in every document, those without a section too."""
+    return S.validation(_numbered_documents(spark, folder), documents=documents(spark, folder))
+
+
 def wrapped_lines_joined(spark: SparkSession, folder: str) -> DataFrame:
     return S.joined_lines(lines(spark, folder))
 
@@ -205,7 +236,7 @@ def normalised_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return cells.select("section_key", "block", F.array_join(S.normal_block(F.col("rows")), "\n").alias("text"))
 
 
-_QUERIES = (doc_line_profile, clean_text, doc_lines, line_frequency_top, repeated_line_candidates, heading_lines, glossary_score, file_chapters, page_lists, sections_raw, cluster_drop, section_content, smoothed_sections, section_numbers, build_title, validation_warnings, document_sections, wrapped_lines_joined, table_blocks, normalised_blocks)
+_QUERIES = (doc_line_profile, clean_text, doc_lines, line_frequency_top, repeated_line_candidates, heading_lines, glossary_score, file_chapters, page_lists, sections_raw, cluster_drop, section_content, smoothed_sections, section_numbers, build_title, validation_warnings, document_sections, document_headings, document_contents, document_numbers, document_titles, document_warnings, wrapped_lines_joined, table_blocks, normalised_blocks)
 QUERIES = {q.__name__: q for q in _QUERIES} | {k: _kind(k, keep) for k, (keep, _) in KINDS.items()}
 
 _PAGE_LINES = _LINES.replace("doc_id", "section_key").replace("text,", "raw_text,").replace("from documents where text is", "from (select distinct section_key, raw_text from sections) where raw_text is")
@@ -280,3 +311,15 @@ select doc_id, stem, chapter, case when chapter > 0 then 'chapter_' || chapter |
     "build_title": _SMOOTH + rf"select book, coalesce(min_by(case when regexp_matches(title, '{X.CHAPTER}') then regexp_replace(title, '(?i)^Chapter\s+\d+[\s:–-]+', '') end, case when regexp_matches(title, '{X.CHAPTER}') then seq end), {strip(f"regexp_replace(min_by(title, seq), '{WS}+', ' ', 'g')")}, 'Unknown') title from z group by book",
     "validation_warnings": _BOOK_RAW + f"_ as (select 1) select book, 'WARNING: Only ' || count(*) || ' section detected. Expected at least 2.' warning from c group by book having count(*) < 2 union all select book, 'WARNING: Section ''' || {_NUMBERED} || ' – ' || title || ''' is unusually short (' || length(content) || ' chars).' from c where length(content) < 200",
 } | {k: _PAGE_LINES + f"select section_key, line_no, line from l where {sql}" if k in PAGE_KINDS else _LINES + f"select doc_id, line_no, line from l where {sql}" for k, (_, sql) in KINDS.items()}
+
+_ID = "coalesce(d.chapter, 0) || '.' || cast(seq + 1 as varchar)"
+SQL |= {
+    "document_headings": _DOC_RAW + "_ as (select 1) select doc_id, start, stop, title from k",
+    "document_contents": _DOC_RAW + "_ as (select 1) select * from c",
+    "document_numbers": _DOC_SMOOTH + f"select z.doc_id, seq, {_ID} id, z.title from z join documents d on z.doc_id = d.doc_id",
+    "document_titles": _DOC_SMOOTH + SQL["build_title"][len(_SMOOTH) :].replace("book", "doc_id"),
+    "document_warnings": _DOC_SMOOTH
+    + f"""select doc_id, 'WARNING: Only ' || count(*) || ' section detected. Expected at least 2.' as warning from z group by 1 having count(*) < 2
+union all select z.doc_id, 'WARNING: Section ''' || {_ID} || ' – ' || z.title || ''' is unusually short (' || length(content) || ' chars).' from z join documents d on z.doc_id = d.doc_id where length(content) < 200
+union all select doc_id, 'WARNING: No headings were detected in the document.' from documents where doc_id not in (select doc_id from z)""",
+}
