@@ -76,7 +76,8 @@ def _is_array(v: Column) -> Column:
 def _meant(v: Column) -> Column:
     """What text that encodes an object or array stands for; all else as it is."""
     text = F.try_parse_json(_get(v, "$", "string"))
-    return F.when(_is_object(text) | _is_array(text), text).otherwise(v)
+    # an object as text would be its JSON, so what is one isn't read again
+    return F.when(_is_object(v) | _is_array(v), v).when(_is_object(text) | _is_array(text), text).otherwise(v)
 
 
 def _inner(v: Column) -> Column:
@@ -93,9 +94,9 @@ def _unwrap(v: Column) -> Column:
 
 
 def _steps(payload: Column) -> Column:
-    """As many steps as a payload can need: one for each name of a wrapper and each array or text right at a value's start."""
+    """As many steps as a payload can need: one for each name of a wrapper, which takes an array under it along, and one for each array right within another or at the start."""
     names = F.regexp_count(payload, F.lit(rf'"(?:{"|".join(WRAPPERS)})\\*"\s*:'))
-    return names + F.regexp_count(payload, F.lit(r'(?:\A|[:\[]|\\")\s*(?:\\*"\s*)?[\[{]')) + 1
+    return names + F.regexp_count(payload, F.lit(r'\[\s*(?:\\*"\s*)?\[')) + 2
 
 
 def with_records(df: DataFrame, payload: str = "payload", out: str = "_record", pos: str = "_section") -> DataFrame:
