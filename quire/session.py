@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="quire-"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the checkpoint folder: lineage is cut as by checkpoint(), compressed and by columns, so later steps read what they need."""
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python, once a context, so that their workers needn't have it installed."""
     sc = spark.sparkContext

@@ -50,3 +50,12 @@ def test_sources_hold_no_limits_on_rows():
 
     root = pathlib.Path(catalog.__file__).parent
     assert {p.name for p in root.glob("*.py") if re.search(r"\.(limit|sample|head|take)\(", p.read_text())} <= {"prose.py"}
+
+
+def test_kept_tables_are_equal(spark, data):
+    from quire.session import kept
+
+    df = spark.read.parquet(f"{data}/sections.parquet").select("section_key", "image_ocr", "native_tables", "raw_text")
+    again = kept(df)
+    assert again.schema.simpleString() == df.schema.simpleString() and again.exceptAll(df).count() == df.exceptAll(again).count() == 0
+    assert kept(df.where("false")).count() == 0
