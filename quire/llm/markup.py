@@ -21,7 +21,7 @@ What stays is written as clean text in which headings, lists, code, formulas and
 still be told, with inline marks gone and entities resolved. The kinds of markup in a text are
 read off the same nodes, before any is removed, as boilerplate markup is markup too.
 
-Parsing is a scan in Arrow batches, once a text; the nodes are kept as a checkpoint. Paths and
+Parsing is a scan in Arrow batches, once a text; the nodes are kept as a table. Paths and
 contents travel as 64-bit hashes, merged with partial sums; joins on a source's hot contents are
 spread over ``SALT`` parts, so a source with a third of all pages makes no hot group.
 
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import once
-from quire.session import checkpoint_dir
+from quire.session import kept
 
 KINDS = ("heading", "list", "code", "formula", "table", "inline")
 
@@ -567,11 +567,13 @@ SALT = 32
 
 
 def dom(sections: DataFrame, documents: DataFrame) -> DataFrame:
-    """section_key, field, region, source and the DOM's nodes of each field, kept as a checkpoint: each text is parsed once."""
-    checkpoint_dir(sections.sparkSession)
+    """section_key, field, region, source, the DOM's nodes of each field and the clean texts of its leaves; kept as a table, as each text is parsed once."""
     narrow = once(sections.select("section_key", "doc_id", "content", "ocr_markdown", "image_ocr", "loaded_at"))
     known = narrow.join(documents.select("doc_id", "source"), "doc_id", "left")
-    return fields(known, ("section_key", "source")).select("section_key", "field", "region", "source", _dom("text").alias("nodes")).checkpoint()
+    parsed = fields(known, ("section_key", "source")).select("section_key", "field", "region", "source", _dom("text").alias("_d"))
+    slim = F.transform("_d", lambda x: F.struct(*(x[c].alias(c) for c in ("path", "content", "goes_on", "named", "end", "block"))))
+    # in columns of their own, so that what compares nodes doesn't read the texts
+    return kept(parsed.select("section_key", "field", "region", "source", slim.alias("nodes"), F.transform("_d", lambda x: x["clean"]).alias("cleans")))
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -630,11 +632,11 @@ def removed(nodes: DataFrame, least: float = LEAST_IMPORTANCE, least_share: floa
 def clean_text(sections: DataFrame, documents: DataFrame, least: float = LEAST_IMPORTANCE, least_share: float = LEAST_SHARE) -> DataFrame:
     """section_key, field, region, clean, n_removed: each field's clean text without its source's branches of low importance, and how many leaves went."""
     doms = dom(sections, documents)
-    nodes = occurrences(doms).checkpoint()  # short rows, read several times
+    nodes = kept(occurrences(doms))  # short rows, read several times
     joined = doms.join(removed(nodes, least, least_share), ["section_key", "field", "region"], "left")
-    leaves = F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.get("nodes", i)["clean"].isNotNull())
+    leaves = F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.get("cleans", i).isNotNull())
     leaves = F.when(F.size("nodes") > 0, leaves).otherwise(F.array().cast("array<int>"))
     joined = joined.withColumn("_all", leaves).withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_all")).otherwise(F.array_except("_all", "gone")))
     # a blank line where a block begins
-    lines = F.transform("_kept", lambda i, k: F.concat(F.when((k > 0) & (F.get("nodes", i)["block"] != F.get("nodes", F.get("_kept", k - 1))["block"]), "\n").otherwise(""), F.get("nodes", i)["clean"]))
+    lines = F.transform("_kept", lambda i, k: F.concat(F.when((k > 0) & (F.get("nodes", i)["block"] != F.get("nodes", F.get("_kept", k - 1))["block"]), "\n").otherwise(""), F.get("cleans", i)))
     return joined.select("section_key", "field", "region", F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n").alias("clean"), (F.size("_all") - F.size("_kept")).alias("n_removed"))
