@@ -215,8 +215,8 @@ def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def joined_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, line_no, line: wrapped lines joined, cut words without their hyphen.
 
-    Whether a line goes on depends on the joined text only by its length of 60 or more, its end and its first mark; these are carried along within each run between blank lines."""
-    s = X.strip(F.col("line"))
+    Whether a line goes on depends on the joined text only by its length of 60 or more, its end and its first mark; these are carried along within each run between blank lines; a null line is a blank one."""
+    s = F.coalesce(X.strip(F.col("line")), F.lit(""))
     rows = lines.select(*keys, "line_no", s.alias("s"))
     w = Window.partitionBy(*keys).orderBy("line_no")
     run = F.sum(((F.col("s") == "") | (F.lag("s", 1, "").over(w) == "")).cast("int")).over(w)

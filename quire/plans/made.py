@@ -21,8 +21,9 @@ EDGES = (40, 110, 150, 330, 390, 440, 490, 560)
 
 
 def _rows(spark: SparkSession, folder: str, name: str, by: str, order: str) -> DataFrame:
-    """The table with i from 1 and n, its place and number within ``by``."""
-    return spark.sql(f"select *, row_number() over (partition by {by} order by {order}) i, count(*) over (partition by {by}) n from {{t}}", t=table(spark, folder, name))
+    """The columns used of the table with i from 1 and n, its place and number within ``by``."""
+    columns = {"supplier": "s_suppkey, s_nationkey, s_name", "nation": "n_nationkey, n_regionkey, n_name"}[name]
+    return spark.sql(f"select {columns}, row_number() over (partition by {by} order by {order}) i, count(*) over (partition by {by}) n from {{t}}", t=table(spark, folder, name))
 
 
 def _object(k, kind: str, x0, y0, x1, y1, text=None) -> Column:
@@ -178,7 +179,7 @@ _SAID = ("Figure 3. @", "figure @: of it", "Figure of @", "Figures 3. @", "Image
 
 def _said(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.transform(F.array(*map(F.lit, _SAID)), lambda x: F.replace(x, F.lit("@"), F.col("n_name")))
-    return table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
+    return table(spark, folder, "nation").select("n_nationkey", "n_name").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
 
 
 def figure_caption_lines(spark: SparkSession, folder: str) -> DataFrame:
