@@ -107,9 +107,8 @@ def with_records(df: DataFrame, payload: str = "payload", out: str = "_record",
     alone = F.when(c.isNotNull(), F.array(c))
     steps = F.sequence(F.lit(1), _steps(F.col(payload)))
     every = F.aggregate(steps, alone, lambda a, _: F.when(F.exists(a, lambda v: ~_is_record(v)), F.flatten(F.transform(a, _unwrap))).otherwise(a))
-    df = df.withColumn(out, F.when(_is_record(c), alone).otherwise(F.when(c.isNotNull(), every)))
+    df = df.withColumn(out, F.when(_is_record(c), alone).otherwise(F.when(c.isNotNull(), F.filter(every, _is_record))))
     kept = [x for x in df.columns if x != out]
-    df = df.withColumn(out, F.filter(out, lambda v: _is_record(v)))
     return df.select(*kept, F.posexplode_outer(out).alias(pos, out)).where(F.col(out).isNotNull()).withColumn(pos, (F.col(pos) + 1).cast("int"))
 
 
