@@ -183,6 +183,32 @@ def test_copies_count_as_one_cluster(spark):
     assert boilerplate.site_lines(df, same_day).count() == 0 and boilerplate.site_lines(df, same_day, least_dates=1).count() == 1
 
 
+def test_clusters_are_built_where_they_decide(spark, monkeypatch):
+    """Copies count in a share of documents, so it needs no clusters; by clusters, or with a least number of clusters or dates, they change what is found."""
+    texts = ["an article that was printed again\nthe notice of the publisher"] * 3 + [f"something else altogether {c * 8}\nthe notice of the publisher" for c in "abc"]
+    rows = [(k, k, 1, t, None) for k, t in enumerate(texts)] + [(0, 0, 1, texts[0], None), (6, 6, 1, None, None), (7, None, 1, texts[0], None)]
+    df = spark.createDataFrame(rows, "section_key bigint, doc_id bigint, source_page int, raw_text string, loaded_at timestamp")
+    docs = spark.range(8).selectExpr("id doc_id", "'s' source", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id div 5 as int)) converted_at")
+    real, built = boilerplate.clusters, []
+    monkeypatch.setattr(boilerplate, "clusters", lambda *a, **k: built.append(1) or real(*a, **k))
+
+    def found(**k):
+        built.clear()
+        return {tuple(r) for r in boilerplate.found_lines(df, docs, **k).collect()}, len(built)
+
+    notice, article = {(k, 2) for k in range(6)}, {(k, 1) for k in range(3)}
+    assert found() == (notice | article, 0) == found(least_clusters=1, least_dates=1)
+    assert found(least_share=0.5) == (notice, 0) == found(least_documents=4)
+    for limits in ({"least_clusters": 2}, {"least_dates": 2}, {"by": "clusters"}):
+        assert found(**limits) == (notice, 1)
+    for limits in ({}, {"least_share": 0.4}, {"least_share": 0.45}, {"least_documents": 3}, {"least_documents": 4}):
+        lines = boilerplate.occurrences(df, docs)
+        want = {tuple(r) for r in boilerplate.site_lines(df, docs, by="documents", lines=lines, **limits).select("source", "h1", "h2", "n_docs").collect()}
+        assert {tuple(r) for r in boilerplate.document_lines(df, docs, lines, **limits).collect()} == want
+    with pytest.raises(ValueError):
+        boilerplate.found_lines(df, docs, by="dates")
+
+
 def test_a_line_of_many_sources_costs_its_occurrences(spark):
     n = 1000
     df = spark.range(2 * n).selectExpr("id section_key", "id doc_id", "1 source_page", "'one notice of everyone' raw_text", "cast(null as timestamp) loaded_at")
