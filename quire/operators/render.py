@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +19,27 @@ def fenced(text: Column) -> Column:
     return F.concat(f, F.lit("text\n"), text, F.lit("\n"), f)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once: what a lambda names that isn't its variable is evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def native_runs(blocks: Column) -> Column:
     """Adjacent native blocks as one, joined by line ends: the array is cut where a run begins, so each block is read once."""
     kind = "array<struct<kind:string,text:string,flag_id:string>>"
-    blocks = blocks.cast(kind)
-    native = lambda i: F.coalesce(F.get(blocks, i)["kind"] == "native", F.lit(False))
-    begins = F.filter(F.sequence(F.lit(0), F.size(blocks) - 1), lambda i: (i == 0) | ~(native(i) & native(i - 1)))
 
-    def run(start: Column, k: Column) -> Column:
-        part = F.slice(blocks, start + 1, F.coalesce(F.get(begins, k + 1), F.size(blocks)) - start)
+    def runs(blocks: Column) -> Column:
+        native = lambda i: F.coalesce(F.get(blocks, i)["kind"] == "native", F.lit(False))
+        begins = F.filter(F.sequence(F.lit(0), F.size(blocks) - 1), lambda i: (i == 0) | ~(native(i) & native(i - 1)))
+        cut = lambda begins: F.transform(begins, lambda start, k: _once(F.slice(blocks, start + 1, F.coalesce(F.get(begins, k + 1), F.size(blocks)) - start), joined))
+        return F.when(F.size(blocks) > 0, _once(begins, cut)).otherwise(F.when(blocks.isNotNull(), F.array().cast(kind)))
+
+    def joined(part: Column) -> Column:
         first = F.get(part, F.lit(0))
         text = F.when(F.size(part) > 1, F.array_join(F.transform(part, lambda b: b["text"]), "\n")).otherwise(first["text"])
         return F.struct(first["kind"].alias("kind"), text.alias("text"), first["flag_id"].alias("flag_id"))
 
-    return F.when(F.size(blocks) > 0, F.transform(begins, run)).otherwise(F.when(blocks.isNotNull(), F.array().cast(kind))).cast(kind)
+    return _once(blocks.cast(kind), runs).cast(kind)
 
 
 def section_markdown(sid: Column, title: Column, warnings: Column, text: Column, ocr: Column, blocks: Column | None = None) -> Column:

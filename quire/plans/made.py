@@ -170,7 +170,7 @@ def coalesced_blocks(spark: SparkSession, folder: str) -> DataFrame:
     ocr = F.col("s_suppkey") % 3 == 0
     block = F.struct("i", F.when(ocr, "ocr").otherwise("native").alias("kind"), F.col("s_name").alias("text"), F.when(ocr, F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))).alias("flag_id"))
     docs = rows.groupBy(F.col("s_nationkey").cast("bigint").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(block)), lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["flag_id"].alias("flag_id"))).alias("b"))
-    return docs.select("doc_id", F.posexplode(render.native_runs(F.col("b"))).alias("n", "x")).select("doc_id", "n", "x.kind", "x.text", "x.flag_id")
+    return docs.select("doc_id", F.posexplode_outer(render.native_runs(F.col("b"))).alias("n", "x")).where("n is not null").select("doc_id", "n", "x.kind", "x.text", "x.flag_id")
 
 
 #: Lines of each kind and lines that only look like it, with a nation's name.
